@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.clock import epoch_seconds
+from ..session import materialize
 
 TASK_ROWS = 1_000_000   # bars one task may hold as a single series
 BLOCK_ROWS = 4096       # bars per block beyond that
@@ -116,7 +117,8 @@ def _number_split(
             for n in names
         }
     )
-    return numbered.select(*bars.columns, "seq", *names)
+    # Stored, because the plans that follow read it more than once.
+    return materialize(numbered.select(*bars.columns, "seq", *names), "ordered")
 
 
 def _with_halo(o: Ordered, lookback: int) -> DataFrame:

@@ -22,7 +22,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import Ordered
@@ -30,6 +30,7 @@ from .blocks import Ordered
 RUN = 256
 BUCKET_NATS = 200.0
 TINY = 1e-280
+POSITION = f"CAST(seq % {RUN} AS DOUBLE)"
 
 
 @dataclass(frozen=True)
@@ -53,188 +54,161 @@ class Ewm:
     def nats(self) -> float:
         return -math.log(self.decay)
 
-    def new_share(self, steps: Column) -> Column:
-        """Weight of a new value that arrives ``steps`` rows after the one before."""
-        return F.lit(1 - self.decay) / (self._old(steps) + (1 - self.decay))
+    def new_share(self, steps: str) -> str:
+        """Weight of a new value that arrives ``steps`` rows after the one before (SQL)."""
+        return f"({1 - self.decay!r}D / {self._total(steps)})"
 
-    def step_nats(self, steps: Column) -> Column:
-        """Decay of the old state caused by that value."""
-        return steps * self.nats + F.log(self._old(steps) + (1 - self.decay))
+    def step_nats(self, steps: str) -> str:
+        """Decay of the old state caused by that value (SQL)."""
+        return f"({steps} * {self.nats!r}D + ln({self._total(steps)}))"
 
-    def _old(self, steps: Column) -> Column:
-        return F.exp(steps * -self.nats)
+    def _total(self, steps: str) -> str:
+        return f"(exp(-{self.nats!r}D * {steps}) + {1 - self.decay!r}D)"
 
 
 def ewm_means(o: Ordered, means: list[Ewm]) -> Ordered:
-    """Add one column per entry of ``means``."""
-    keys = list(o.keys)
-    run_keys = [*keys, "_run"]
+    """Add one column per entry of ``means``.
+
+    Expressions are SQL text: there are many of them, and a text costs the driver one call.
+    """
+    keys = ", ".join(f"`{k}`" for k in o.keys)
     sources = list(dict.fromkeys(m.source for m in means))
-    inside = _inside_runs(o.df, run_keys, means, sources)
+    inside = _inside_runs(o.df, keys, means, sources)
     states = _run_states(inside, keys, means, sources)
-    joined = inside.join(states, run_keys)
-    out = {m.out: _finish(i, m, sources.index(m.source)) for i, m in enumerate(means)}
-    return o.with_df(joined.withColumns(out).select(*o.df.columns, *out))
-
-
-def _inside_runs(
-    df: DataFrame, run_keys: list[str], means: list[Ewm], sources: list[str]
-) -> DataFrame:
-    w = Window.partitionBy(*run_keys).orderBy("seq")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    at = (F.col("seq") % RUN).cast("double")
-
-    seen = {"_end": F.lead("seq").over(w).isNull()}
-    for j, s in enumerate(sources):
-        here = F.when(F.col(s).isNotNull(), F.col("seq"))
-        seen[f"_prev{j}"] = F.max(here).over(before)
-        seen[f"_first{j}"] = F.min(here).over(upto)
-        seen[f"_last{j}"] = F.max(here).over(upto)
-        seen[f"_head{j}"] = F.first(F.col(s), ignorenulls=True).over(upto)
-
-    decays, sums = {}, {}
+    joined = inside.join(states, [*o.keys, "_run"])
+    out = [f"{_value(i, m, sources.index(m.source))} AS `{m.out}`" for i, m in enumerate(means)]
+    return o.with_df(joined.selectExpr(*[f"`{c}`" for c in o.df.columns], *out))
+
+
+def _inside_runs(df: DataFrame, keys: str, means: list[Ewm], sources: list[str]) -> DataFrame:
+    """Sums since the start of the run, in three levels over one window."""
+    line = f"PARTITION BY {keys}, _run ORDER BY seq"
+    upto = f"OVER ({line} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    before = f"OVER ({line} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+
+    seen = [f"lead(seq) OVER ({line}) IS NULL AS _end"]
+    for j, x in enumerate(sources):
+        here = f"CASE WHEN `{x}` IS NOT NULL THEN seq END"
+        seen += [
+            f"max({here}) {before} AS _prev{j}",
+            f"min({here}) {upto} AS _first{j}",
+            f"max({here}) {upto} AS _last{j}",
+            f"first(`{x}`, true) {upto} AS _head{j}",
+        ]
+
+    decays, sums = [], []
     for i, m in enumerate(means):
-        j = sources.index(m.source)
-        x = F.col(m.source)
+        j, x = sources.index(m.source), f"`{m.source}`"
         if m.adjust:
-            nats = at * m.nats
-            weight = F.when(x.isNotNull(), F.exp(nats))
-            sums[f"_num{i}"] = F.sum(x * weight).over(upto) * F.exp(-nats)
-            sums[f"_den{i}"] = F.sum(weight).over(upto) * F.exp(-nats)
+            weight = f"CASE WHEN {x} IS NOT NULL THEN exp({POSITION} * {m.nats!r}D) END"
+            fade = f"exp({POSITION} * -{m.nats!r}D)"
+            sums += [
+                f"coalesce(sum({x} * {weight}) {upto} * {fade}, 0D) AS _num{i}",
+                f"coalesce(sum({weight}) {upto} * {fade}, 0D) AS _den{i}",
+            ]
         else:
-            steps = F.when(x.isNotNull(), F.col("seq") - F.col(f"_prev{j}"))
-            decays[f"_nats{i}"] = F.coalesce(F.sum(m.step_nats(steps)).over(upto), F.lit(0.0))
-            nats = F.col(f"_nats{i}")
-            sums[f"_sum{i}"] = (
-                F.coalesce(F.sum(m.new_share(steps) * x * F.exp(nats)).over(upto), F.lit(0.0))
-                * F.exp(-nats)
+            steps = f"(CASE WHEN {x} IS NOT NULL THEN seq END - _prev{j})"
+            decays.append(f"coalesce(sum({m.step_nats(steps)}) {upto}, 0D) AS _nats{i}")
+            sums.append(
+                f"coalesce(sum({m.new_share(steps)} * {x} * exp(_nats{i})) {upto}, 0D)"
+                f" * exp(-_nats{i}) AS _sum{i}"
             )
     runs = df.withColumn("_run", F.floor(F.col("seq") / RUN))
-    return runs.withColumns(seen).withColumns(decays).withColumns(sums)
+    for level in (seen, decays, sums):
+        runs = runs.selectExpr("*", *level)
+    return runs
 
 
-def _run_states(
-    inside: DataFrame, keys: list[str], means: list[Ewm], sources: list[str]
-) -> DataFrame:
+def _run_states(inside: DataFrame, keys: str, means: list[Ewm], sources: list[str]) -> DataFrame:
     """State of every mean at the start of each run, one row per run."""
-    by_run = Window.partitionBy(*keys).orderBy("_run")
-    earlier = by_run.rowsBetween(Window.unboundedPreceding, -1)
-    ends = inside.where("_end").withColumns(
-        {
-            f"_before{j}": F.last(F.col(f"_last{j}"), ignorenulls=True).over(earlier)
-            for j in range(len(sources))
-        }
+    line = f"OVER (PARTITION BY {keys} ORDER BY _run ROWS BETWEEN UNBOUNDED PRECEDING AND"
+    befores = [f"_before{j}" for j in range(len(sources))]
+    ends = inside.where("_end").selectExpr(
+        "*",
+        *[f"last(_last{j}, true) {line} 1 PRECEDING) AS {b}" for j, b in enumerate(befores)],
     )
     parts = [part for i, m in enumerate(means) for part in _recurrences(i, m, sources)]
-    tall = ends.select(
-        *keys,
-        "_run",
-        *[f"_before{j}" for j in range(len(sources))],
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(p).alias("part"), nats.alias("nats"), add.alias("add"))
-                    for p, nats, add in parts
-                ]
-            )
-        ).alias("_r"),
-    ).select("*", "_r.part", "_r.nats", "_r.add").drop("_r")
-    solved = _solve(tall, keys)
+    structs = ", ".join(
+        f"named_struct('part', '{name}', 'nats', {nats}, 'add', {add})"
+        for name, nats, add in parts
+    )
+    tall = ends.selectExpr(*keys.split(", "), "_run", *befores, f"inline(array({structs}))")
+    states = (
+        _solve(tall, keys)
+        .groupBy(*[F.expr(k) for k in keys.split(", ")], "_run")
+        .agg(
+            *[F.expr(f"first({b}) AS {b}") for b in befores],
+            *[F.expr(f"max(state) FILTER (WHERE part = '{p}') AS _state_{p}") for p, _, _ in parts],
+        )
+    )
     # Weighted sums fade to nothing over very long gaps, but their ratio does not change there.
-    kept = {
-        f"_kept{i}": F.last(
-            F.when(
-                F.col(f"_state_den{i}") > TINY,
-                F.try_divide(F.col(f"_state_num{i}"), F.col(f"_state_den{i}")),
-            ),
-            ignorenulls=True,
-        ).over(by_run.rowsBetween(Window.unboundedPreceding, 0))
+    ratio = "CASE WHEN _state_den{i} > {t!r}D THEN _state_num{i} / _state_den{i} END"
+    kept = [
+        f"last({ratio.format(i=i, t=TINY)}, true) {line} CURRENT ROW) AS _kept{i}"
         for i, m in enumerate(means)
         if m.adjust
-    }
-    befores = [F.first(f"_before{j}").alias(f"_before{j}") for j in range(len(sources))]
-    return solved.groupBy(*keys, "_run").agg(
-        *befores,
-        *[F.max(F.when(F.col("part") == p, F.col("state"))).alias(f"_state_{p}") for p, _, _ in parts],
-    ).withColumns(kept)
+    ]
+    return states.selectExpr("*", *kept)
 
 
-def _recurrences(i: int, m: Ewm, sources: list[str]) -> list[tuple[str, Column, Column]]:
+def _recurrences(i: int, m: Ewm, sources: list[str]) -> list[tuple[str, str, str]]:
     """(name, nats, add) of the run-to-run recurrences behind one mean."""
-    zero = F.lit(0.0)
     if m.adjust:
-        rows = (F.col("seq") % RUN + 1).cast("double")
-        return [
-            (f"{kind}{i}", rows * m.nats, F.coalesce(F.col(f"_{kind}{i}"), zero))
-            for kind in ("num", "den")
-        ]
+        nats = f"({POSITION} + 1) * {m.nats!r}D"
+        return [(f"{kind}{i}", nats, f"_{kind}{i}") for kind in ("num", "den")]
     j = sources.index(m.source)
-    empty = F.col(f"_first{j}").isNull()
-    gap = F.col(f"_first{j}") - F.col(f"_before{j}")
+    gap = f"(_first{j} - _before{j})"
     # The first value of the run meets the state of earlier runs; the very first has share 1.
-    share = F.coalesce(m.new_share(gap), F.lit(1.0))
-    nats = F.when(empty, zero).otherwise(
-        F.col(f"_nats{i}") + F.coalesce(m.step_nats(gap), zero)
-    )
-    add = F.when(empty, zero).otherwise(
-        F.exp(-F.col(f"_nats{i}")) * share * F.col(f"_head{j}") + F.col(f"_sum{i}")
-    )
-    return [(f"sum{i}", nats, add)]
+    share = f"coalesce({m.new_share(gap)}, 1D)"
+    nats = f"_nats{i} + coalesce({m.step_nats(gap)}, 0D)"
+    add = f"exp(-_nats{i}) * {share} * _head{j} + _sum{i}"
+    empty = f"_first{j} IS NULL"
+    return [(f"sum{i}", f"if({empty}, 0D, {nats})", f"if({empty}, 0D, {add})")]
 
 
-def _solve(tall: DataFrame, keys: list[str]) -> DataFrame:
+def _solve(tall: DataFrame, keys: str) -> DataFrame:
     """``state`` before each run for C = C_prev*exp(-nats) + add.
 
     Runs are bucketed by total decay; inside a bucket the weights stay within exp(200), and
     what lies two buckets back has decayed below any double, so one carried value is exact.
     """
-    line = Window.partitionBy(*keys, "part").orderBy("_run")
-    total = F.sum("nats").over(line.rowsBetween(Window.unboundedPreceding, 0))
-    placed = tall.withColumn("_total", total).withColumn(
-        "_bucket", F.floor(F.col("_total") / BUCKET_NATS)
-    )
-    bucket = Window.partitionBy(*keys, "part", "_bucket").orderBy("_run")
-    inner = F.col("_total") - F.col("_bucket") * BUCKET_NATS
-    local = F.sum(F.col("add") * F.exp(inner)).over(
-        bucket.rowsBetween(Window.unboundedPreceding, 0)
-    ) * F.exp(-inner)
-    summed = placed.withColumn("_local", local)
-    closes = F.lead("_bucket").over(line) != F.col("_bucket")
-    carried = (
-        summed.withColumn("_closing", F.when(closes, F.struct("_local", "_total")))
-        .withColumn(
-            "_carry",
-            F.last("_closing", ignorenulls=True).over(
-                line.rowsBetween(Window.unboundedPreceding, -1)
-            ),
+    line = f"PARTITION BY {keys}, part ORDER BY _run"
+    upto = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    before = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    inner = f"(_total - _bucket * {BUCKET_NATS!r}D)"
+    return (
+        tall.selectExpr("*", f"sum(nats) OVER ({line} {upto}) AS _total")
+        .selectExpr("*", f"floor(_total / {BUCKET_NATS!r}D) AS _bucket")
+        .selectExpr(
+            "*",
+            f"sum(add * exp({inner})) OVER (PARTITION BY {keys}, part, _bucket ORDER BY _run"
+            f" {upto}) * exp(-{inner}) AS _local",
+            f"lead(_bucket) OVER ({line}) <> _bucket AS _closes",
         )
-        .withColumn(
-            "_state",
-            F.col("_local")
-            + F.coalesce(
-                F.col("_carry._local") * F.exp(F.col("_carry._total") - F.col("_total")),
-                F.lit(0.0),
-            ),
+        .selectExpr(
+            "*",
+            f"last(if(_closes, named_struct('local', _local, 'total', _total), NULL), true)"
+            f" OVER ({line} {before}) AS _carry",
         )
+        .selectExpr(
+            "*",
+            "_local + coalesce(_carry.local * exp(_carry.total - _total), 0D) AS _state",
+        )
+        .selectExpr("*", f"coalesce(lag(_state) OVER ({line}), 0D) AS state")
     )
-    return carried.withColumn("state", F.coalesce(F.lag("_state").over(line), F.lit(0.0)))
 
 
-def _finish(i: int, m: Ewm, j: int) -> Column:
+def _value(i: int, m: Ewm, j: int) -> str:
     """Value of a row from its run and the state at the start of the run."""
-    reached = F.col(f"_first{j}").isNotNull()
-    started = F.col(f"_before{j}").isNotNull()
+    reached, started = f"_first{j} IS NOT NULL", f"_before{j} IS NOT NULL"
     if m.adjust:
-        faded = F.exp((F.col("seq") % RUN + 1).cast("double") * -m.nats)
-        num = F.coalesce(F.col(f"_num{i}"), F.lit(0.0)) + F.col(f"_state_num{i}") * faded
-        den = F.coalesce(F.col(f"_den{i}"), F.lit(0.0)) + F.col(f"_state_den{i}") * faded
-        return F.when(reached | (den > TINY), F.try_divide(num, den)).otherwise(
-            F.col(f"_kept{i}")
-        )
-    share = F.coalesce(m.new_share(F.col(f"_first{j}") - F.col(f"_before{j}")), F.lit(1.0))
-    state = F.col(f"_state_sum{i}")
-    blended = (1 - share) * state + share * F.col(f"_head{j}")
-    return F.when(
-        reached, F.exp(-F.col(f"_nats{i}")) * blended + F.col(f"_sum{i}")
-    ).when(started, state)
+        faded = f"exp(({POSITION} + 1) * -{m.nats!r}D)"
+        num = f"(_num{i} + _state_num{i} * {faded})"
+        den = f"(_den{i} + _state_den{i} * {faded})"
+        return f"CASE WHEN {reached} OR {den} > {TINY!r}D THEN {num} / {den} ELSE _kept{i} END"
+    share = f"coalesce({m.new_share(f'(_first{j} - _before{j})')}, 1D)"
+    blended = f"((1 - {share}) * _state_sum{i} + {share} * _head{j})"
+    return (
+        f"CASE WHEN {reached} THEN exp(-_nats{i}) * {blended} + _sum{i}"
+        f" WHEN {started} THEN _state_sum{i} END"
+    )

@@ -56,8 +56,7 @@ def tail_spread_by_rank(
     cuts = _cut_points(rows, value, pieces)
     piece = F.lit(0)
     if cuts:
-        bounds = F.array(*[F.lit(c) for c in cuts])
-        piece = F.size(F.filter(bounds, lambda c: c < F.col("_v")))
+        piece = F.size(F.filter(F.lit(cuts), lambda c: c < F.col("_v")))
     counted = counted.withColumn("_piece", piece)
 
     sizes = counted.groupBy(*group, "_piece").agg(F.sum("_n").alias("_rows"))
@@ -100,7 +99,11 @@ def tail_spread_by_rank(
         *group, high.alias("_high"), low.alias("_low")
     )
     v, n = F.col("_v"), F.col("_n")
-    tails = counted.join(levels, group).where((v >= F.col("_high")) | (v <= F.col("_low")))
+    # Levels travel with the pieces, so that this join too is spread over the pieces.
+    bounds = starts.select(*group, "_piece").join(levels, group)
+    tails = counted.join(bounds, [*group, "_piece"]).where(
+        (v >= F.col("_high")) | (v <= F.col("_low"))
+    )
 
     def weighted(condition: Column) -> Column:
         return F.try_divide(F.sum(F.when(condition, v * n)), F.sum(F.when(condition, n)))

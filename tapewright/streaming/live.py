@@ -1,9 +1,10 @@
 """Live bars and signals.
 
-Stores are folders of batches: each micro-batch overwrites only its own ``batch_id`` folder,
-so a batch that is replayed after a failure writes the same rows again and readers keep the
-last arrival per key. Batch jobs and streams share that layout: a back-fill is the batch that
-came before all others.
+A store is a table of folders ``trade_date=.../batch_id=...``. A micro-batch overwrites only
+its own folders, so a batch replayed after a failure writes the same rows again, and readers
+keep the last arrival per key. Batch jobs and streams share that layout: a back-fill is the
+batch that came before all others. Days come first so that a reader of recent bars lists and
+reads recent days only.
 
 Event time is TIMESTAMP inside the stream (a watermark needs it) and zone-free at both ends;
 run these jobs with ``spark.sql.session.timeZone=UTC``.
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.bars import bar_columns, tick_columns
-from ..operators.history import keep_last, newest, overlay
+from ..operators.history import keep_last, overlay
 from ..schemas import HISTORY_ROWS, TICK
 
 _D, _NTZ = T.DoubleType(), T.TimestampNTZType()
@@ -89,31 +91,66 @@ def live_bars(
 
 
 def store_batch(rows: DataFrame, batch_id: int, path: str) -> None:
-    """Write one batch into its own folder, replacing an earlier attempt."""
+    """Write one batch into its own folders, replacing an earlier attempt."""
     (
-        rows.withColumn("trade_date", F.to_date("bar_ts"))
+        rows.withColumns({"trade_date": F.to_date("bar_ts"), "batch_id": F.lit(batch_id)})
         .hint("rebalance", "trade_date")
         .write.mode("overwrite")
-        .partitionBy("trade_date")
-        .parquet(f"{path}/batch_id={batch_id}")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("trade_date", "batch_id")
+        .parquet(path)
     )
 
 
 def read_store(
-    spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str] = BAR_KEYS
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType,
+    keys: Sequence[str] = BAR_KEYS,
+    days: Sequence[date] | None = None,
 ) -> DataFrame:
-    """Stored rows, last arrival per key."""
+    """Stored rows, last arrival per key; of some days only if ``days`` is given."""
     placed = T.StructType(
         [
             *schema.fields,
-            T.StructField("batch_id", T.LongType()),
             T.StructField("trade_date", T.DateType()),
+            T.StructField("batch_id", T.LongType()),
         ]
     )
-    rows = spark.read.schema(placed).parquet(path)
+    folder = path
+    if days is not None:
+        folder = f"{path}/trade_date={{{','.join(d.isoformat() for d in days)}}}"
+    rows = spark.read.schema(placed).option("basePath", path).parquet(folder)
     return keep_last(rows, keys, ["batch_id"]).select(*schema.names)
 
 
+def read_tail(
+    spark: SparkSession, path: str, bar_times: int, *, until: date, span_days: int
+) -> DataFrame:
+    """Bars of all series over the newest ``bar_times`` bar times, in whole days.
+
+    Looks at the last ``span_days`` days first. Only if they hold fewer bar times, so that the
+    span is not proven to be enough, the whole store is read.
+    """
+
+    def first_day(bars: DataFrame) -> tuple[int, datetime | None]:
+        newest_times = bars.select("bar_ts").distinct().orderBy(F.desc("bar_ts")).limit(bar_times)
+        found = newest_times.agg(
+            F.count("bar_ts").alias("n"),
+            F.to_date(F.min("bar_ts")).cast("timestamp_ntz").alias("day"),
+        ).first()
+        return found["n"], found["day"]
+
+    bars = read_store(
+        spark, path, STORED_BAR, days=[until - timedelta(days=i) for i in range(span_days)]
+    )
+    n, day = first_day(bars)
+    if n < bar_times:
+        bars = read_store(spark, path, STORED_BAR)
+        n, day = first_day(bars)
+    return bars.where(F.col("bar_ts") >= F.lit(day))
+
+
 def start_bar_store(
     bars: DataFrame, path: str, checkpoint: str, *, mode: str = "append",
     on_batch: Callable[[DataFrame, int], None] | None = None, trigger: dict | None = None,
@@ -121,9 +158,12 @@ def start_bar_store(
     """Store live bars; ``on_batch`` runs after each batch is stored."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        store_batch(batch, batch_id, path)
-        if on_batch is not None:
-            on_batch(batch, batch_id)
+        batch.persist()
+        if not batch.isEmpty():
+            store_batch(batch, batch_id, path)
+            if on_batch is not None:
+                on_batch(batch, batch_id)
+        batch.unpersist()
 
     return (
         bars.writeStream.outputMode(mode)
@@ -151,15 +191,19 @@ class SignalJob:
     signal_schema: T.StructType
     plan: Callable[[DataFrame, DataFrame], DataFrame]
     history_rows: int = HISTORY_ROWS
+    span_days: int = 31
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        stored = read_store(spark, self.bars_path, STORED_BAR)
-        tail = newest(stored, self.history_rows)
-        # Bars of this batch, taken from its own folder: the stored rows, not a recomputation.
-        own = spark.read.schema(STORED_BAR).parquet(f"{self.bars_path}/batch_id={batch_id}")
-        rows = self.plan(tail, own.select("bar_ts").distinct())
-        store_batch(rows.select(*self.signal_schema.names), batch_id, self.signals_path)
+        times = batch.select("bar_ts").distinct()
+        found = times.agg(F.max("bar_ts").alias("last"), F.count(F.lit(1)).alias("n")).first()
+        # Every bar of the batch is to see ``history_rows`` bars, not only the last one.
+        tail = read_tail(
+            spark, self.bars_path, self.history_rows + found["n"],
+            until=found["last"].date(), span_days=self.span_days,
+        )
+        rows = self.plan(tail, times).select(*self.signal_schema.names)
+        store_batch(rows, batch_id, self.signals_path)
 
     def read(self, spark: SparkSession) -> DataFrame:
         """One signal per bar, the last one written."""
