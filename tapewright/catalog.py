@@ -625,10 +625,15 @@ breadth = _per_bar(
 adv_dec_ratio = _per_bar(adv_dec_volume_ratio=advance_decline)
 dispersion = _per_bar(vwap_disp=lambda: F.stddev_samp("vwap_pressure"))
 flow_align = _per_bar(pct_flow_align=lambda: share_with_mean_sign("vwap_pressure"))
-tail_spreads = _per_bar(
-    vwap_tb_spread=lambda: tail_spread(F.collect_list("vwap_pressure")),
-    ret_tb_spread=lambda: tail_spread(F.collect_list("ret")),
-)
+
+
+def tail_spreads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arrays = symbols(spark, sf_dir).groupBy("bar_ts").agg(
+        F.collect_list("vwap_pressure").alias("pressures"), F.collect_list("ret").alias("returns")
+    )
+    return rounded(
+        tail_spread(arrays, {"pressures": "vwap_tb_spread", "returns": "ret_tb_spread"})
+    )
 
 
 def tail_spread_hot_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

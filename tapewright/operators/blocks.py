@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from ..functions.clock import epoch_seconds
 from ..session import materialize
 
-TASK_ROWS = 1_000_000   # bars one task may hold as a single series
-BLOCK_ROWS = 4096       # bars per block beyond that
+TASK_ROWS = 50_000   # bars of all series up to which one task per series is fine
+BLOCK_ROWS = 4096    # bars per block beyond that
 
 
 @dataclass(frozen=True)

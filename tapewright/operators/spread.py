@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 GROUP_ROWS = 20_000   # values of one group that may sit in one array
 PIECES = 256          # pieces a hot group is split into
 
@@ -29,17 +31,13 @@ def _mean(values: Column) -> Column:
     return F.try_divide(total, F.size(values))
 
 
-def tail_spread(values: Column, q: float = 0.2) -> Column:
-    """Spread of an array of values; use with ``collect_list`` over a bounded group.
-
-    The tails are slices of the sorted array, found by position, so the work is that of a few
-    sorts. (A test of each element against the quantile would sort once per element.)
-    """
-    ordered = F.sort_array(values)
+def _spread_of_sorted(ordered: Column, q: float) -> Column:
+    """The tails are slices of the sorted array, found by position. (A test of each element
+    against the quantile would work out the quantile once per element.)"""
     high, a, b = _edges(ordered, 1 - q)
     first = F.array_position(ordered, F.when(a >= high, a).otherwise(b)).cast("int")
     low, c, d = _edges(ordered, q)
-    falling = F.sort_array(values, asc=False)
+    falling = F.reverse(ordered)
     skipped = F.array_position(falling, F.when(d <= low, d).otherwise(c)).cast("int") - 1
     n = F.size(ordered)
     top = F.slice(ordered, first, n - first + 1)
@@ -47,23 +45,45 @@ def tail_spread(values: Column, q: float = 0.2) -> Column:
     return F.when(n > 0, _mean(top) - _mean(bottom))
 
 
+def tail_spread(grouped: DataFrame, arrays: dict[str, str], q: float = 0.2) -> DataFrame:
+    """Replace array columns (name -> name of the result) by the spread of their values.
+
+    The arrays come from ``collect_list`` over bounded groups in an earlier aggregation: one
+    buffer per group and column, sorted once.
+    """
+    ordered = grouped.withColumns({a: F.sort_array(a) for a in arrays})
+    spreads = {out: _spread_of_sorted(F.col(a), q) for a, out in arrays.items()}
+    return ordered.withColumns(spreads).drop(*arrays)
+
+
 def tail_spread_by_rank(
-    rows: DataFrame, group: list[str], value: str, out: str, q: float = 0.2, pieces: int = PIECES
+    rows: DataFrame,
+    group: list[str],
+    value: str,
+    out: str,
+    q: float = 0.2,
+    *,
+    pieces: int = PIECES,
+    group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """One row per group with the spread of ``value``, for groups without a size bound.
 
-    Equal values are counted before anything is shuffled by group. The rest is cut into value
-    ranges, so a hot group is ranked by up to ``pieces`` tasks: counts per range give each
-    range its first rank, ranks inside a range come from a window over (group, range). The
-    cut points are approximate quantiles of the whole column; they only balance the ranges,
-    the ranks are exact whatever they are.
+    Equal values are counted first, and the counts are stored: ``rows`` is read once. The
+    distinct values are cut into ranges, so a hot group is ranked by up to ``pieces`` tasks:
+    counts per range give each range its first rank, ranks inside a range come from a window
+    over (group, range). The cut points are approximate quantiles of the distinct values; they
+    only balance the ranges, the ranks are exact whatever they are.
     """
-    counted = (
+    counted = materialize(
         rows.where(F.col(value).isNotNull())
         .groupBy(*group, F.col(value).alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n"))
+        .agg(F.count(F.lit(1)).alias("_n")),
+        "counted",
     )
-    cuts = _cut_points(rows, value, pieces)
+    # Groups that are all small need no cutting; the size is checked, not assumed.
+    sizes = counted.groupBy(*group).agg(F.count(F.lit(1)).alias("_rows"))
+    largest = sizes.agg(F.max("_rows")).first()[0] or 0
+    cuts = _cut_points(counted, pieces) if largest > group_rows else []
     piece = F.lit(0)
     if cuts:
         piece = F.size(F.filter(F.lit(cuts), lambda c: c < F.col("_v")))
@@ -123,8 +143,8 @@ def tail_spread_by_rank(
     )
 
 
-def _cut_points(rows: DataFrame, value: str, pieces: int) -> list[float]:
+def _cut_points(counted: DataFrame, pieces: int) -> list[float]:
     """At most ``pieces`` - 1 numbers; the sketch merges on the map side."""
     steps = [i / pieces for i in range(1, pieces)]
-    found = rows.agg(F.percentile_approx(value, steps, 10 * pieces).alias("c")).first()["c"]
+    found = counted.agg(F.percentile_approx("_v", steps, 10 * pieces).alias("c")).first()["c"]
     return sorted(set(found or []))

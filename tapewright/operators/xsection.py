@@ -112,8 +112,8 @@ def cross_section(
     ]
     if bounded:
         columns += [
-            tail_spread(F.collect_list("vwap_pressure")).alias("vwap_tb_spread"),
-            tail_spread(F.collect_list("ret")).alias("ret_tb_spread"),
+            F.collect_list("vwap_pressure").alias("_pressures"),
+            F.collect_list("ret").alias("_returns"),
         ]
     grouped, names = members, list(XSECTION_COLUMNS)
     if loadings is None:
@@ -123,6 +123,8 @@ def cross_section(
         columns.append(projection().alias("_projected"))
     rows = grouped.groupBy("bar_ts").agg(*columns)
     rows = rows.withColumnRenamed("_mean_pressure", "vwap_pressure")
+    if bounded:
+        rows = tail_spread(rows, {"_pressures": "vwap_tb_spread", "_returns": "ret_tb_spread"})
     if loadings is not None:
         rows = rows.withColumn("vwap_pca1", F.col("_projected") - centre(loadings))
     if not bounded:

@@ -47,8 +47,8 @@ def groups():
 def test_tail_spread_forms(spark, groups, pieces):
     df = to_spark(spark, groups, "g string, v double").repartition(5)
     want = groups.groupby("g")["v"].apply(spread)
-    bounded = df.groupBy("g").agg(tail_spread(F.collect_list("v")).alias("s"))
-    ranked = tail_spread_by_rank(df, ["g"], "v", "s", pieces=pieces)
+    bounded = tail_spread(df.groupBy("g").agg(F.collect_list("v").alias("vs")), {"vs": "s"})
+    ranked = tail_spread_by_rank(df, ["g"], "v", "s", pieces=pieces, group_rows=10)
     got = bounded.toPandas().set_index("g")["s"]
     same(got[want.index], want)
     got = ranked.toPandas().set_index("g")["s"]
