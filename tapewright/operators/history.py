@@ -4,29 +4,31 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import HISTORY_ROWS
 
 
-def _pick(rows: DataFrame, keys: Sequence[str], fn, arrival: Sequence[str | Column]) -> DataFrame:
-    """One row per key. An aggregate, not a window: copies of a key are reduced before the
-    shuffle, so a key that holds a third of all rows costs one row per map task."""
-    rest = [c for c in rows.columns if c not in keys]
-    by = [F.col(a) if isinstance(a, str) else a for a in arrival]
-    best = fn(F.struct(*rest), by[0] if len(by) == 1 else F.struct(*by)).alias("_row")
+def _pick(rows: DataFrame, keys: Sequence[str], fn, arrival: Sequence[str]) -> DataFrame:
+    """One row per key: the smallest or largest by ``arrival``, then by the other columns.
+
+    An aggregate, not a window: copies of a key are reduced before the shuffle, so a key that
+    holds a third of all rows costs one row per map task.
+    """
+    rest = [c for c in rows.columns if c not in keys and c not in arrival]
+    best = fn(F.struct(*arrival, *rest)).alias("_row")
     return rows.groupBy(*keys).agg(best).select(*keys, "_row.*").select(*rows.columns)
 
 
-def keep_first(rows: DataFrame, keys: Sequence[str], arrival: Sequence[str | Column]) -> DataFrame:
-    """First arrival per key. ``arrival`` has to be unique within a key."""
-    return _pick(rows, keys, F.min_by, arrival)
+def keep_first(rows: DataFrame, keys: Sequence[str], arrival: Sequence[str]) -> DataFrame:
+    """First arrival per key; equal arrivals are told apart by the remaining columns."""
+    return _pick(rows, keys, F.min, arrival)
 
 
-def keep_last(rows: DataFrame, keys: Sequence[str], arrival: Sequence[str | Column]) -> DataFrame:
-    """Last arrival per key. ``arrival`` has to be unique within a key."""
-    return _pick(rows, keys, F.max_by, arrival)
+def keep_last(rows: DataFrame, keys: Sequence[str], arrival: Sequence[str]) -> DataFrame:
+    """Last arrival per key; equal arrivals are told apart by the remaining columns."""
+    return _pick(rows, keys, F.max, arrival)
 
 
 def stack(*frames: DataFrame) -> DataFrame:
@@ -73,7 +75,7 @@ def last_bar(
 ) -> DataFrame:
     """Last row per series, or the one ``back`` rows before it."""
     if back == 0:
-        return _pick(rows, keys, F.max_by, [order])
+        return _pick(rows, keys, F.max, [order])
     tail = newest(rows, back + 1, keys=keys, order=order)
     by_age = Window.partitionBy(*keys).orderBy(F.desc(order))
     return (
