@@ -833,18 +833,28 @@ def stream_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_store(spark, f"{path}/bars", STORED_BAR).select(*BAR.names, "is_final")
 
 
-def stream_live_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Closed bars together with the bars still open."""
+def _live_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     closed = read_store(spark, f"{_replay(spark, sf_dir, final=True)}/bars", STORED_BAR)
     seen = read_store(spark, f"{_replay(spark, sf_dir, final=False)}/bars", STORED_BAR)
-    return live_view(closed, seen).select(*BAR.names, "is_final")
+    return live_view(closed, seen)
+
+
+def stream_live_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed bars together with the bars still open."""
+    return _live_bars(spark, sf_dir).select(*BAR.names, "is_final")
 
 
 def batch_signals(bars: DataFrame, times: DataFrame) -> DataFrame:
     """The batch plan from stored bars to signals of ``times``, as a stream runs it."""
-    history = history_of(bars.select(*STORED_BAR.names).drop("is_final"), bars.sparkSession)
+    history = history_of(bars, bars.sparkSession)
     frame = feature_frame(order_history(history, SPEC), SPEC)
-    return signals(_scored(frame, times))
+    return signals(_scored(frame, times), keep=("is_final",))
+
+
+def provisional_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signals on closed and still open bars; nothing of the open bars is kept in the history."""
+    view = materialize(_live_bars(spark, sf_dir), "view")
+    return rounded(batch_signals(view, view.select("bar_ts").distinct()))
 
 
 def stream_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -930,5 +940,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "seed_history": seed_history,
     "stream_bars": stream_bars,
     "stream_live_view": stream_live_view,
+    "provisional_signals": provisional_signals,
     "stream_signals": stream_signals,
 }

@@ -55,7 +55,11 @@ def bar_columns() -> list[Column]:
 
 
 def merge_series(bars: DataFrame, name: str) -> DataFrame:
-    """All series together as one series ``name``: bars of bars, no second tick scan."""
+    """All series together as one series ``name``: bars of bars, no second tick scan.
+
+    A merged bar is final (``is_final``, where the column exists) when all its parts are.
+    """
+    final = [F.every("is_final").alias("is_final")] if "is_final" in bars.columns else []
     return (
         bars.groupBy("bar_ts")
         .agg(
@@ -64,6 +68,7 @@ def merge_series(bars: DataFrame, name: str) -> DataFrame:
             F.min("low").alias("low"),
             F.max_by("close", "close_ts").alias("close"),
             F.sum("volume").alias("volume"),
+            *final,
         )
         .select(F.lit(name).alias("series"), "*")
     )

@@ -214,6 +214,7 @@ def _features() -> str:
         [f"w{n} AS (ORDER BY bar_ts ROWS {n - 1} PRECEDING)" for n in (2, 3, 6, 12, 14, 20, 48, 50)]
         + ["p12 AS (ORDER BY bar_ts ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING)"]
         + ["p2 AS (ORDER BY bar_ts ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING)"]
+        + ["q2 AS (ORDER BY bar_ts ROWS BETWEEN 3 PRECEDING AND 2 PRECEDING)"]
         + ["upto AS (ORDER BY bar_ts ROWS UNBOUNDED PRECEDING)"]
     )
 
@@ -313,6 +314,8 @@ def _features() -> str:
         "vwap_reject_score": "-vd_step",
         "hi_ref": "max(high) OVER p2",
         "lo_ref": "min(low) OVER p2",
+        "hi_open": "max(high) OVER q2",
+        "lo_open": "min(low) OVER q2",
     }
     third = {
         "ret_skew_30m": "pos_ret_30m - neg_ret_30m",
@@ -662,6 +665,17 @@ ORACLES: dict[str, str] = {
         WHERE bar_ts + INTERVAL 1 hour <= (SELECT max(ts) FROM events) - INTERVAL 1 hour""",
     "stream_live_view": f"""WITH {BARS} SELECT *, bar_ts + INTERVAL 1 hour
         <= (SELECT max(ts) FROM events) - INTERVAL 1 hour AS is_final FROM bars""",
+    "provisional_signals": f"""WITH RECURSIVE {SCORED},
+        marked AS (SELECT *, bar_ts + INTERVAL 1 hour
+          <= (SELECT max(ts) FROM events) - INTERVAL 1 hour AS is_final FROM scored),
+        levels AS (SELECT *, CASE WHEN side = 1
+            THEN CASE WHEN is_final THEN hi_ref ELSE hi_open END
+            ELSE CASE WHEN is_final THEN lo_ref ELSE lo_open END END AS entry
+          FROM marked WHERE p_win >= 0.6),
+        full_rows AS (SELECT *, entry - side * {STOP_R} * atr AS stop,
+          entry + side * {TARGET_R} * atr AS target FROM levels)
+        SELECT is_final, bar_ts, feature_ts, side, {_r("entry stop target exp_p p_win")}
+        FROM full_rows""",
     "stream_signals": f"""WITH RECURSIVE {SIGNALS} SELECT * FROM sig6
         WHERE bar_ts + INTERVAL 1 hour <= (SELECT max(ts) FROM events) - INTERVAL 1 hour""",
 }
