@@ -779,7 +779,7 @@ def trade_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def signal_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signal_text(trade_signals(spark, sf_dir)).select("bar_ts", "text")
+    return signal_text(signals(_scored(_features(spark, sf_dir)))).select("bar_ts", "text")
 
 
 def signal_log(spark: SparkSession, sf_dir: str) -> DataFrame:

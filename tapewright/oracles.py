@@ -653,7 +653,7 @@ ORACLES: dict[str, str] = {
     "signal_text": f"""WITH RECURSIVE {SIGNALS} SELECT bar_ts, printf(
         E'%s\\nSide: %s\\nEntry: %.2f\\nStop: %.2f\\nTarget: %.2f\\nexp_p: %.3f\\np_win: %.3f',
         strftime(bar_ts, '%Y-%m-%d %H:%M:%S'), CASE WHEN side = 1 THEN 'LONG' ELSE 'SHORT' END,
-        entry, stop, target, exp_p, p_win) AS text FROM sig6""",
+        entry, stop, target, exp_p, p_win) AS text FROM sig""",
     "signal_log": f"""WITH RECURSIVE {SIGNALS} SELECT bar_ts AS timestamp, 'example' AS system,
         side, entry, stop, target, exp_p, p_win FROM sig6""",
     "seed_history": f"""WITH {HISTORY} SELECT bar_ts, {_round('open')} AS index_open,
