@@ -71,14 +71,9 @@ from .operators.xsection import (
     symbol_columns,
 )
 from .plans.backfill import backfill, session_rows
-from .plans.features import (
-    FeatureSpec,
-    complete_rows,
-    derived_columns,
-    feature_frame,
-    order_history,
-)
-from .plans.scoring import LogisticScorer, ModelChain, score, stacked_row
+from .plans.cycle import SignalPlan
+from .plans.features import FeatureSpec, complete_rows, derived_columns
+from .plans.scoring import LogisticScorer, ModelChain, stacked_row
 from .plans.signals import signal_text, signals, with_reference_levels
 from .schemas import (
     BAR,
@@ -188,23 +183,14 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return symbol_columns(series_bars(spark, sf_dir).where(F.col("series").isin(*MEMBERS)))
 
 
-def index_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Index bars with the newest complete cross-section row at or before each."""
-    return history_of(materialize(tick_bars(spark, sf_dir), "bars"), spark)
+def example_plan(spark: SparkSession) -> SignalPlan:
+    return SignalPlan(MEMBERS, example_loadings(spark), example_chain(), SPEC, "ALL")
 
 
-def history_of(bars: DataFrame, spark: SparkSession) -> DataFrame:
-    rows = cross_section(
-        symbol_columns(bars), universe=MEMBERS, loadings=example_loadings(spark)
-    ).na.drop("any", subset=XSECTION_COLUMNS)
-    index = with_prefix(merge_series(bars, "ALL"), SPEC.prefix)
-    matched = asof_backward(
-        index,
-        materialize(rows, "xsection"),
-        columns=XSECTION_COLUMNS,
-        span_seconds=HOURLY.bar_seconds * 4096,
-    )
-    return materialize(matched, "history")
+def index_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Index bars with the newest complete cross-section row at or before each."""
+    bars = materialize(tick_bars(spark, sf_dir), "bars")
+    return example_plan(spark).history(bars)
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -732,7 +718,7 @@ def backfill_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _features(spark: SparkSession, sf_dir: str, **layout) -> Ordered:
-    return feature_frame(order_history(index_history(spark, sf_dir), SPEC, **layout), SPEC)
+    return example_plan(spark).features(index_history(spark, sf_dir), **layout)
 
 
 def _frame_columns() -> list[str]:
@@ -754,32 +740,26 @@ def complete_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(frame.select("bar_ts", *EXPANSION_FEATURES), 5)
 
 
-def _scored(frame: Ordered, times: DataFrame | None = None) -> DataFrame:
-    """Score the stored feature frame: the models and the row filter read a table, so the
-    filter reaches the scan and the window plan is not optimized again with the models."""
-    levelled = with_reference_levels(frame, SPEC.prefix)
-    stored = materialize(levelled.df, "features")
-    if times is not None:
-        stored = stored.join(times, "bar_ts", "left_semi")
-    return score(complete_rows(stored, SPEC), example_chain())
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return example_plan(spark).scored(_features(spark, sf_dir))
 
 
 def score_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = _scored(_features(spark, sf_dir))
+    scored = _scored(spark, sf_dir)
     return rounded(scored.select("bar_ts", "exp_p", "p_down", "p_up", "side", "p_win"))
 
 
 def stacked_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = _scored(_features(spark, sf_dir))
+    scored = _scored(spark, sf_dir)
     return rounded(stacked_row(scored, "bar_ts"), 5)
 
 
 def trade_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(signals(_scored(_features(spark, sf_dir))))
+    return rounded(signals(_scored(spark, sf_dir)))
 
 
 def signal_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signal_text(signals(_scored(_features(spark, sf_dir)))).select("bar_ts", "text")
+    return signal_text(signals(_scored(spark, sf_dir))).select("bar_ts", "text")
 
 
 def signal_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -844,24 +824,17 @@ def stream_live_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _live_bars(spark, sf_dir).select(*BAR.names, "is_final")
 
 
-def batch_signals(bars: DataFrame, times: DataFrame) -> DataFrame:
-    """The batch plan from stored bars to signals of ``times``, as a stream runs it."""
-    history = history_of(bars, bars.sparkSession)
-    frame = feature_frame(order_history(history, SPEC), SPEC)
-    return signals(_scored(frame, times), keep=("is_final",))
-
-
 def provisional_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signals on closed and still open bars; nothing of the open bars is kept in the history."""
     view = materialize(_live_bars(spark, sf_dir), "view")
-    return rounded(batch_signals(view, view.select("bar_ts").distinct()))
+    return rounded(example_plan(spark)(view))
 
 
 def stream_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signals of closed bars, written batch by batch."""
 
     def job(path: str) -> SignalJob:
-        return SignalJob(f"{path}/bars", f"{path}/signals", SIGNAL, batch_signals)
+        return SignalJob(f"{path}/bars", f"{path}/signals", SIGNAL, example_plan(spark))
 
     path = _replay(spark, sf_dir, final=True, on_batch=job)
     return rounded(job(path).read(spark))

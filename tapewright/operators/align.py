@@ -37,8 +37,8 @@ def asof_backward(
 
     Time is cut into spans. Within a span a window finds the match; each span also takes the
     last right row of earlier spans, found on a table with one row per span. So no task needs
-    all of history, and without ``by`` the work still spreads over spans. ``right`` is read
-    twice: pass a stored table.
+    all of history, and without ``by`` the work still spreads over spans. Both sides are read
+    twice: pass stored tables.
     """
     keys = [*by, "_span"]
     span = F.floor(epoch_seconds(on) / span_seconds)

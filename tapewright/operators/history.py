@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import HISTORY_ROWS
+from ..session import materialize
 
 
 def _pick(rows: DataFrame, keys: Sequence[str], fn, arrival: Sequence[str]) -> DataFrame:
@@ -45,7 +46,8 @@ def newest(
     """Newest ``n`` rows per series.
 
     Row counts per day tell from which day on rows can matter at all, so only those days are
-    ranked; on a table partitioned by day only they are read in full.
+    ranked; on a table partitioned by day only they are read in full. ``rows`` is read twice:
+    pass a stored table.
     """
     dated = rows.withColumn("_day", F.to_date(order))
     later = Window.partitionBy(*keys).orderBy(F.desc("_day"))
@@ -106,8 +108,12 @@ def upsert(
     order: str = "bar_ts",
     rows: int = HISTORY_ROWS,
 ) -> DataFrame:
-    """Overlay, then keep the newest ``rows`` bars per series. Applying it twice changes nothing."""
-    return newest(overlay(history, fresh, keys=[*keys, order]), rows, keys=keys, order=order)
+    """Overlay, then keep the newest ``rows`` bars per series. Applying it twice changes nothing.
+
+    The merged rows are stored in between, because the cut reads them twice.
+    """
+    merged = materialize(overlay(history, fresh, keys=[*keys, order]), "merged")
+    return newest(merged, rows, keys=keys, order=order)
 
 
 def with_min_history(rows: DataFrame, n: int, *, keys: Sequence[str] = ("series",)) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 def missing_profile(rows: DataFrame, columns: Sequence[str], order: str, recent: int = 10) -> DataFrame:
     """One row per column: ``rows, missing, all_missing, missing_in_last, present_recent``.
 
-    One pass of counts plus a top-k for the newest rows, which Spark takes per partition
+    One pass of counts, and a top-k for the newest rows, which Spark takes per partition
     before merging.
     """
     whole = rows.agg(
@@ -19,29 +19,32 @@ def missing_profile(rows: DataFrame, columns: Sequence[str], order: str, recent:
         *[F.count_if(F.col(c).isNull()).alias(c) for c in columns],
     ).unpivot("rows", list(columns), "column", "missing")
     tail = rows.select(order, *columns).orderBy(F.desc(order)).limit(recent)
-    last = tail.agg(
-        *[F.count(c).alias(c) for c in columns],
-    ).unpivot([], list(columns), "column", "present_recent")
     newest = tail.agg(
-        *[F.max_by(F.col(c).isNull(), order).cast("int").alias(c) for c in columns]
-    ).unpivot([], list(columns), "column", "missing_in_last")
-    return (
-        whole.join(last, "column")
-        .join(newest, "column")
-        .select(
-            "column",
-            "rows",
-            "missing",
-            (F.col("missing") == F.col("rows")).cast("int").alias("all_missing"),
-            "missing_in_last",
-            "present_recent",
-        )
+        F.array(
+            *[
+                F.struct(
+                    F.lit(c).alias("column"),
+                    F.count(c).alias("present_recent"),
+                    F.max_by(F.col(c).isNull(), order).cast("int").alias("missing_in_last"),
+                )
+                for c in columns
+            ]
+        ).alias("profile")
+    ).select(F.inline("profile"))
+    return whole.join(newest, "column").select(
+        "column",
+        "rows",
+        "missing",
+        (F.col("missing") == F.col("rows")).cast("int").alias("all_missing"),
+        "missing_in_last",
+        "present_recent",
     )
 
 
-def members_per_bar(bars: DataFrame) -> DataFrame:
-    """Distinct symbols at each bar time."""
-    return bars.groupBy("bar_ts").agg(F.countDistinct("series").alias("symbols"))
+def members_per_bar(bars: DataFrame, *, approximate: bool = False) -> DataFrame:
+    """Distinct symbols at each bar time; ``approximate`` counts with a sketch."""
+    count = F.approx_count_distinct if approximate else F.countDistinct
+    return bars.groupBy("bar_ts").agg(count("series").alias("symbols"))
 
 
 def bars_per_symbol(bars: DataFrame) -> DataFrame:

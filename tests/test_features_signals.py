@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from data import same, to_pandas, to_spark, walk
 from tapewright.functions import clock
 from tapewright.functions import columns as C
-from tapewright.operators.blocks import ordered
 from tapewright.plans.features import (
     FeatureSpec,
     complete_rows,
@@ -100,7 +99,8 @@ def test_spot_columns_against_pandas(frames):
     same(got["sell_exhaustion"], ((neg > neg.rolling(50).quantile(0.7)) & (velocity > 0)).astype(int))
     same(got["down_divergence"], (np.sign(close.diff(3)) != np.sign(neg - pos)).astype(int))
     same(got["lower_high"], (high < high.rolling(12).max().shift()).astype(int))
-    same(got["wick_skew_30m"], ((high - np.maximum(open_, close)) - (np.minimum(open_, close) - low)).rolling(6).mean())
+    wicks = (high - np.maximum(open_, close)) - (np.minimum(open_, close) - low)
+    same(got["wick_skew_30m"], wicks.rolling(6).mean())
     same(got["break_hold"], np.zeros(len(h)))
     minute = h["bar_ts"].dt.hour * 60 + h["bar_ts"].dt.minute
     same(got["session_frac"], (minute - 555) / 375)

@@ -1,4 +1,5 @@
 from datetime import datetime, timedelta
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -21,7 +22,7 @@ from tapewright.schemas import (
     history_schema,
     require_columns,
 )
-from tapewright.session import new_path, work_dir
+from tapewright.session import materialize, new_path, work_dir
 from tapewright.sources.tables import (
     append_log,
     read_bars,
@@ -125,7 +126,8 @@ def test_log_appends(spark):
 def test_instruments(spark):
     rows = [
         (1, "TCS", "NSE", "EQ", "NSE"), (2, "TCS", "BSE", "EQ", "BSE"), (3, "ITC", "NSE", "FUT", "NFO"),
-        (4, "NIFTY 50", "NSE", "EQ", "INDICES"), (5, "NIFTY 50", "NSE", "EQ", None), (6, "INFY", "NSE", "EQ", "NSE"),
+        (4, "NIFTY 50", "NSE", "EQ", "INDICES"), (5, "NIFTY 50", "NSE", "EQ", None),
+        (6, "INFY", "NSE", "EQ", "NSE"),
     ]
     path = new_path(spark, "instruments")
     spark.createDataFrame(rows, INSTRUMENT).write.parquet(path)
@@ -158,12 +160,13 @@ def test_required_columns():
 def test_backfill_session_only(spark):
     frame = ticks(6000, 2)
     df = to_spark(spark, frame, TICK.simpleString()[7:-1].replace(":", " "))
-    bars = build_bars(df, "30 minutes").cache()
+    bars = materialize(build_bars(df, "30 minutes"), "bars")
     spec = SessionSpec(bar_minutes=30)
     rows = session_rows(
         merge_series(bars, "ALL"), bars, spec, universe=catalog.MEMBERS,
         loadings=catalog.example_loadings(spark),
     )
+    rows = materialize(rows, "session")
     got = rows.toPandas()
     assert len(got) and (got["bar_ts"].dt.time >= datetime(2024, 1, 1, 9, 15).time()).all()
     assert got[XSECTION_COLUMNS].notna().all().all()
@@ -206,13 +209,13 @@ def run_stream(spark, files, on_batch=None, final=True):
     return path
 
 
-def signal_job(path):
-    return SignalJob(f"{path}/bars", f"{path}/signals", SIGNAL, catalog.batch_signals)
+def signal_job(spark, path):
+    return SignalJob(f"{path}/bars", f"{path}/signals", SIGNAL, catalog.example_plan(spark))
 
 
 def test_stream_equals_batch(spark, tick_files):
     files, frame = tick_files
-    path = run_stream(spark, files, signal_job)
+    path = run_stream(spark, files, partial(signal_job, spark))
     stored = spark.read.parquet(f"{path}/bars")
     assert stored.select("batch_id").distinct().count() > 3
     closed = F.lit(frame.agg(F.max("ts")).first()[0] - timedelta(hours=2))
@@ -224,8 +227,8 @@ def test_stream_equals_batch(spark, tick_files):
 
     batch = build_bars(frame, "1 hour").withColumn("is_final", F.lit(True))
     times = batch.where(F.col("bar_ts") <= closed).select("bar_ts").distinct()
-    want = to_pandas(catalog.batch_signals(batch, times), "bar_ts")
-    live = signal_job(path).read(spark)
+    want = to_pandas(catalog.example_plan(spark)(batch, times), "bar_ts")
+    live = signal_job(spark, path).read(spark)
     got = to_pandas(live, "bar_ts")
     assert got["bar_ts"].tolist() == want["bar_ts"].tolist() and len(got) > 0
     for c in ("side", "entry", "stop", "target", "exp_p", "p_win"):
