@@ -46,10 +46,11 @@ def newest(
     """Newest ``n`` rows per series.
 
     Row counts per day tell from which day on rows can matter at all, so only those days are
-    ranked; on a table partitioned by day only they are read in full. ``rows`` is read twice:
-    pass a stored table.
+    ranked. ``rows`` is read twice: pass a stored table. If it is partitioned by
+    ``trade_date``, the counts read no other column, and then only the days that matter are read.
     """
-    dated = rows.withColumn("_day", F.to_date(order))
+    day = F.col("trade_date") if "trade_date" in rows.columns else F.to_date(order)
+    dated = rows.withColumn("_day", day)
     later = Window.partitionBy(*keys).orderBy(F.desc("_day"))
     needed = (
         dated.groupBy(*keys, "_day")

@@ -69,7 +69,14 @@ def rolling_quantile(c: Column | str, n: int, q: float, w: WindowSpec, **kw: int
 
 
 def zscore(c: Column | str, n: int, w: WindowSpec) -> Column:
-    return div(col(c) - rolling_mean(c, n, w), rolling_std(c, n, w))
+    """Distance from the rolling mean in sample standard deviations, over a full frame.
+
+    One count guards both statistics: every aggregate of a frame is updated for each of its
+    rows, so each one less counts n times per row.
+    """
+    frame = w.rowsBetween(-(n - 1), 0)
+    distance = div(col(c) - F.avg(col(c)).over(frame), F.stddev_samp(col(c)).over(frame))
+    return F.when(F.count(col(c)).over(frame) >= n, distance)
 
 
 def true_range(high: str, low: str, close: str, w: WindowSpec) -> Column:

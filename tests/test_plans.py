@@ -12,7 +12,8 @@ from tapewright.operators.bars import build_bars, merge_series
 from tapewright.operators.blocks import ordered
 from tapewright.operators.history import keep_last, newest
 from tapewright.operators.windows import lag, rolling_mean
-from tapewright.session import materialize
+from tapewright.session import materialize, new_path
+from tapewright.sources.tables import write_bars
 
 SF_DIR = "/root/testdata/sf0.01"
 
@@ -84,6 +85,16 @@ def test_newest_ranks_only_days_that_matter(spark):
     assert ranked and all("_day" in r for r in ranked)
 
 
+def test_newest_prunes_days_of_a_partitioned_table(spark):
+    path = new_path(spark, "bars")
+    frame = walk(4000, 3)
+    write_bars(to_spark(spark, frame), path)
+    out = newest(spark.read.parquet(path), 10)
+    assert "dynamicpruning" in plan(out)
+    got = out.toPandas().sort_values("bar_ts")
+    assert got["bar_ts"].tolist() == frame["bar_ts"].tail(10).tolist()
+
+
 @pytest.mark.parametrize("name", ["feature_frame", "signals", "xsection_any_size", "asof_features"])
 def test_no_cross_joins_or_python(spark, name):
     text = plan(catalog.QUERIES[name](spark, SF_DIR))
