@@ -56,11 +56,13 @@ class Ewm:
 
     def new_share(self, steps: str) -> str:
         """Weight of a new value that arrives ``steps`` rows after the one before (SQL)."""
-        return f"({1 - self.decay!r}D / {self._total(steps)})"
+        fresh = f"{1 - self.decay!r}D"
+        return f"if({steps} = 1, {fresh}, {fresh} / {self._total(steps)})"
 
     def step_nats(self, steps: str) -> str:
         """Decay of the old state caused by that value (SQL)."""
-        return f"({steps} * {self.nats!r}D + ln({self._total(steps)}))"
+        gap = f"{steps} * {self.nats!r}D + ln({self._total(steps)})"
+        return f"if({steps} = 1, {self.nats!r}D, {gap})"
 
     def _total(self, steps: str) -> str:
         return f"(exp(-{self.nats!r}D * {steps}) + {1 - self.decay!r}D)"
