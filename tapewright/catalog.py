@@ -787,13 +787,24 @@ def _run(query) -> None:
         raise query.exception()
 
 
+def _stream_session(spark: SparkSession) -> SparkSession:
+    """Session with one state partition per core. The number is fixed for the life of a
+    stream's state, and state does not take part in adaptive execution."""
+    session = spark.newSession()
+    zone, partitions = "spark.sql.session.timeZone", "spark.sql.shuffle.partitions"
+    cores = spark.sparkContext.defaultParallelism
+    session.conf.set(zone, spark.conf.get(zone))
+    session.conf.set(partitions, str(min(int(spark.conf.get(partitions)), cores)))
+    return session
+
+
 def _replay(
     spark: SparkSession, sf_dir: str, *, final: bool, on_batch=None, delay: str = "1 hour"
 ) -> str:
     """Run the tick file through a bar stream to its end; the folder of the bar store."""
     path = new_path(spark, "live")
     bars = live_bars(
-        read_ticks(spark, sf_dir, name="events.parquet"),
+        read_ticks(_stream_session(spark), sf_dir, name="events.parquet"),
         WIDTH, delay, final=final, tick_key=["event_id"] if final else (),
     )
     handler = on_batch(path) if on_batch else None
