@@ -8,6 +8,7 @@ groups of any size, including one that holds most of the table.
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,10 +85,13 @@ def tail_spread_by_rank(
     sizes = counted.groupBy(*group).agg(F.count(F.lit(1)).alias("_rows"))
     largest = sizes.agg(F.max("_rows")).first()[0] or 0
     cuts = _cut_points(counted, pieces) if largest > group_rows else []
-    piece = F.lit(0)
     if cuts:
-        piece = F.size(F.filter(F.lit(cuts), lambda c: c < F.col("_v")))
-    counted = counted.withColumn("_piece", piece)
+        edges = [-float("inf"), *cuts, float("inf")]
+        counted = Bucketizer(
+            splits=edges, inputCol="_v", outputCol="_piece", handleInvalid="keep"
+        ).transform(counted)
+    else:
+        counted = counted.withColumn("_piece", F.lit(0.0))
 
     sizes = counted.groupBy(*group, "_piece").agg(F.sum("_n").alias("_rows"))
     line = Window.partitionBy(*group)
