@@ -83,9 +83,10 @@ def test_spot_columns_against_pandas(frames):
     got, h = frames[0], history(gaps=True)
     close, high, low, open_ = (h[f"index_{c}"] for c in ("close", "high", "low", "open"))
     typical = (high + low + close) / 3
-    ret = close.pct_change()
-    neg = (-ret.clip(upper=0)).rolling(6).sum()
-    pos = ret.clip(lower=0).rolling(6).sum()
+    ret = close / close.shift() - 1
+    # gains less losses is the sum of returns, gains plus losses that of their sizes
+    size, net = (x.rolling(6).sum() for x in (ret.abs(), ret))
+    neg, pos = (size - net) / 2, (size + net) / 2
     same(got["vwap_slope"], typical.cumsum().diff(3))
     same(got["vwap_reject_score"], -(close - typical.cumsum()).diff(2))
     same(got["index_vwap"], SPEC.running_base + typical.cumsum(), 1e-12)
@@ -94,12 +95,16 @@ def test_spot_columns_against_pandas(frames):
     same(got["flow_dir_ema6"], _flow_dir(h).ewm(span=6, adjust=False).mean())
     same(got["advdec_ema12"], h["adv_dec_volume_ratio"].ewm(span=12, adjust=False).mean())
     same(got["ema30_slope"], close.ewm(span=30).mean().diff())
-    velocity = h["adv_dec_volume_ratio"].rolling(6).sum() * close.diff(3)
-    same(got["exhaustion"], velocity)
-    same(got["sell_exhaustion"], ((neg > neg.rolling(50).quantile(0.7)) & (velocity > 0)).astype(int))
-    same(got["down_divergence"], (np.sign(close.diff(3)) != np.sign(neg - pos)).astype(int))
-    same(got["lower_high"], (high < high.rolling(12).max().shift()).astype(int))
-    wicks = (high - np.maximum(open_, close)) - (np.minimum(open_, close) - low)
+    tired = 6 * h["adv_dec_volume_ratio"].rolling(6).mean() * (close - close.shift(3))
+    same(got["exhaustion"], tired)
+    pushed = neg.rolling(50).apply(lambda v: v[-1] - np.quantile(v, 0.7), raw=True)
+    same(got["sell_exhaustion"], np.where(pushed.gt(1e-15) & tired.gt(0), 1, 0))
+    falling, pressed = np.sign(close - close.shift(3)), np.sign((-net).round(15))
+    same(got["down_divergence"], 1 - falling.eq(pressed).astype(int))
+    earlier = high.shift().rolling(12).max()
+    same(got["lower_high"], np.where(high.lt(earlier), 1, 0))
+    # upper less lower wick: the body's two ends add up to open plus close
+    wicks = high + low - open_ - close
     same(got["wick_skew_30m"], wicks.rolling(6).mean())
     same(got["break_hold"], np.zeros(len(h)))
     minute = h["bar_ts"].dt.hour * 60 + h["bar_ts"].dt.minute
