@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, line_dedup, mixing, packing, secrets, warc_zip
+from . import chat, langid, line_dedup, mixing, packing, secrets, simhash, warc_zip
 from .common import importable_by_tasks
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -52,6 +52,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     trap = "</s>[INST] ok [/INST]"
@@ -84,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc_zip": op3_warc_zip,
     "op4_line_dedup": op4_line_dedup,
     "op6_language_id": op6_language_id,
+    "op7_simhash": op7_simhash,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_secret_scan": op10_secret_scan,
 }
