@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, line_dedup, mixing, packing, secrets, simhash, warc_zip
+from . import chat, jaccard_join, langid, line_dedup, mixing, packing, secrets, simhash, warc_zip
 from .common import importable_by_tasks
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -46,6 +46,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     said = langid.identify(docs.select("doc_id", "text"), langid.train(docs.where(~langid.held_out())))
@@ -87,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_warc_zip": op3_warc_zip,
     "op4_line_dedup": op4_line_dedup,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_language_id": op6_language_id,
     "op7_simhash": op7_simhash,
     "op9_chat_formatting": op9_chat_formatting,
