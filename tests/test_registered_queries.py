@@ -6,14 +6,14 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry_point
+from tapewright.catalog import QUERIES
+from tapewright.oracles import ORACLES
 
 SF_DIR = "/root/testdata/sf0.01"
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages"
     " benchmark labels conversations"
 ).split()
-QUERIES = entry_point.queries()
-ORACLES = entry_point.oracle_sql()
 NO_SQL = {"pca_fit"}  # eigenvectors; checked against a dense solver in test_xsection
 
 
@@ -63,6 +63,11 @@ def test_query_equals_sql(spark, duck, name):
             assert a[c].astype(str).str[:19].tolist() == b[c].astype(str).str[:19].tolist(), c
 
 
+def test_entry_registers_the_catalog():
+    assert set(QUERIES) <= set(entry_point.queries())
+    assert set(ORACLES) <= set(entry_point.oracle_sql()) <= set(entry_point.queries())
+
+
 def test_entry(spark):
     out = entry_point.entry(spark).toPandas()
     assert len(out) == 179 and out["atr"].notna().sum() == 179 - 13
