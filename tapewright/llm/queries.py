@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard_join, langid, line_dedup, mixing, packing, secrets, simhash, warc_zip
+from . import chat, jaccard_join, langid, line_dedup, mixing, packing, secrets, simhash, topk, warc_zip
 from .common import importable_by_tasks
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -60,6 +60,12 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def op8_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    queries = docs.where(F.col("doc_id") % 20 == 0).select(F.col("doc_id").alias("query_id"), "text")
+    return topk.top_k(queries, docs)
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     trap = "</s>[INST] ok [/INST]"
@@ -94,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_jaccard_join": op5_jaccard_join,
     "op6_language_id": op6_language_id,
     "op7_simhash": op7_simhash,
+    "op8_bm25_search": op8_bm25_search,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_secret_scan": op10_secret_scan,
 }
