@@ -110,10 +110,14 @@ def fingerprint_edits(docs: DataFrame, *, shingle: int = SHINGLE, buckets: int |
         .orderBy("b")
         .collect()
     ]
-    halo = F.lit(None).cast("int")
-    for k, (_, first, null) in enumerate(firsts):
-        is_first = F.col("doc_id").isNull() if null else F.col("doc_id") == F.lit(first)
-        halo = F.when(is_first, F.lit(firsts[k - 1][0])).otherwise(halo)
+    # Array lookups: a chain of conditions, one per range, would nest too deep to be planned.
+    before = F.array(*[F.lit(int(firsts[k - 1][0])) for k in range(len(firsts))])
+    first_ids = F.array(*[F.lit(first).cast("bigint") for _, first, null in firsts])
+    at = F.array_position(first_ids, F.col("doc_id").cast("bigint"))
+    halo = F.when(at > 0, F.get(before, (at - 1).cast("int")))
+    if firsts and firsts[0][2]:  # rows without id come first
+        wrap = F.lit(int(firsts[-1][0]))
+        halo = F.when(F.col("doc_id").isNull(), wrap).when(at > 1, F.get(before, (at - 1).cast("int")))
     places = F.filter(
         F.array(
             F.struct(bucket.cast("int").alias("b"), F.lit(0).alias("lap")),
