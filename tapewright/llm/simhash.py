@@ -39,7 +39,9 @@ def votes(term: str = "_term") -> list[Column]:
     """Sums over terms from which ``majority`` takes the fingerprint."""
     sums = [F.count(term).alias("_n")]
     for half in range(HALVES):
-        h = F.col(term) if half == 0 else F.xxhash64(F.col(term), F.lit(half))
+        h = F.col(term)
+        if half:  # a hash is never null, so a missing term must be kept out
+            h = F.when(h.isNotNull(), F.xxhash64(h, F.lit(half)))
         lanes = [F.shiftrightunsigned(h, j).bitwiseAND(F.lit(LANES)) for j in range(32)]
         sums += [F.sum(v).alias(f"_v{half}_{j}") for j, v in enumerate(lanes)]
     return sums
