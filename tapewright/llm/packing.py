@@ -9,8 +9,10 @@ data, so no key, source or length class can make one large.
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -24,44 +26,85 @@ from .common import text_or_empty
 
 CAPACITY = 1024
 GROUP_PIECES = 16_384
-CACHED_WORDS = 400_000  # distinct words whose ids a task keeps at most
+CACHED_WORDS = 500_000  # distinct words after which a task forgets those not used again
+CACHED_CHARS = 64       # longer words are not kept
+MARKS = "!\"#$%&()*+,-./:;<=>?@[]^_{|}~"
+SPACE_RUN = re.compile(r" \s")
 
 PIECE = "doc_id {id}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
 
-class WordIds(dict):
-    """Ids of a word as little-endian 32-bit integers, encoded at its first use."""
+class Cached(dict):
+    """Values by text, made by ``make`` at their first use; ``CACHED_WORDS`` to twice as many stay.
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+    When it is full, what was not used since the last time goes, so frequent words are kept.
+    """
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+    def __init__(self, make: Callable[[str], bytes]):
+        self.make, self.old = make, {}
 
-    def __missing__(self, word: str) -> bytes:
+    def __missing__(self, text: str) -> bytes:
         if len(self) >= CACHED_WORDS:
+            self.old = dict(self)
             self.clear()
-        self[word] = ids = self.whole(word)
-        return ids
+        value = self.old.get(text)
+        if value is None:
+            value = self.make(text)
+        if len(text) <= CACHED_CHARS:
+            self[text] = value
+        return value
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable ones for
+    themselves, the others for code points from 256 on in their order."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(256 + k) for k, b in enumerate(rest)}
+
 
-    def whole(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.asarray(ids, dtype="<u4").tobytes()
+def little_endian(ids: Sequence[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
-def encoder(path: str, pattern: str):
+def encoder(path: str, pattern: str) -> Callable[[str], bytes]:
     """Text to id bytes, equal to the tokenizer's own output.
 
     The merges of a byte-level tokenizer never cross the borders of ``pattern``, so the words
-    between them are encoded once and looked up after that. A text that names a special token
-    is left to the tokenizer as a whole.
+    between them are encoded once and looked up after that. A space before anything but white
+    space always starts a word of ``pattern``; a text whose spaces are all of that kind is cut
+    there first, which is faster than finding its words. A text that names a special token is
+    left to the tokenizer as a whole.
     """
-    words, split = WordIds(path), regex.compile(pattern).findall
+    from tokenizers import Tokenizer
+
+    tokenizer, split, letters = Tokenizer.from_file(path), regex.compile(pattern).findall, byte_letters()
+    special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    model = tokenizer.model
+
+    def word(text: str) -> bytes:
+        if text.isascii() and text.isprintable():  # only the space is not spelled as itself
+            spelled = text.replace(" ", letters[32])
+        else:
+            spelled = text.encode("utf-8").decode("latin-1").translate(letters)
+        return little_endian([t.id for t in model.tokenize(spelled)])
+
+    def after_space(text: str) -> bytes:
+        letters_only = text.rstrip(MARKS)
+        if letters_only.isalpha():  # a word, and all marks after it are another
+            marks = text[len(letters_only) :]
+            return spaced[letters_only] + words[marks] if marks else word(f" {text}")
+        return b"".join([words[w] for w in split(f" {text}")])
+
+    words, spaced = Cached(word), Cached(after_space)
 
     def encode(text: str) -> bytes:
-        if any(s in text for s in words.special):
-            return words.whole(text)
-        return b"".join([words[w] for w in split(text)])
+        if any(s in text for s in special):
+            return little_endian(tokenizer.encode(text, add_special_tokens=False).ids)
+        if SPACE_RUN.search(text):
+            return b"".join([words[w] for w in split(text)])
+        first, *rest = text.split(" ")
+        return b"".join([*[words[w] for w in split(first)], *[spaced[x] for x in rest]])
 
     return encode
 
