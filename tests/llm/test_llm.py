@@ -92,6 +92,21 @@ def test_packing_covers_every_id_once(spark, documents):
     assert check_pieces(rows, dict(zip(documents.doc_id, documents.text, strict=True))) > 0.95
 
 
+def test_encoder_equals_the_tokenizer(documents, monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "CACHED_WORDS", 50)  # words are forgotten and made again
+    settings = tokenizer()
+    encode, plain = packing.encoder(settings["tokenizer"], settings["pattern"]), Tokenizer.from_file(settings["tokenizer"])
+    odd_texts = [
+        "", " ", "  ", "a ", " a", "a  b", "a \n b", "\t x", "it's we'll  'd", "日本 語😀 é\x85 \u00a0x \u3000y", "x\x1c \x1cy",
+        "a\u200b b \u200bc", "\x00 \x7f \xad ¡", "<|endoftext|> hi", "a, b!? (c) d'e. 1,5 a1; é...", "x" * 200 + " " + "é" * 200,
+    ]
+    for text in [*odd_texts, *(t or "" for t in documents.text)]:
+        want = np.asarray(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert encode(text) == want
+
+
 def test_packing_edges(odd, empty):
     rows = packing.pack(odd, **tokenizer()).collect()
     assert len({r.doc_id for r in rows}) == len(TEXTS) + 1
