@@ -25,6 +25,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 from ..session import materialize
 from .common import LOWER, UPPER, WORD, text_or_empty
@@ -104,7 +105,9 @@ def survivors(one: np.ndarray, many: np.ndarray, bounds: list[tuple[int, int]])
 
 
 def sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, digest of the shingle set, and for sets that are not empty signature and bands."""
+    """doc_id (and ``_key``, if there), digest of the shingle set, and for sets that are not empty
+    signature and bands."""
+    kept = [c for c in ("doc_id", "_key") if c in docs.columns]
 
     def sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,14 +119,14 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
                 values.append(None if low is None else low.astype(np.uint16).tobytes())
                 keys.append(None if low is None else band_keys(low))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(digests, pa.binary()), pa.array(values, pa.binary()),
+                [*map(batch.column, kept), pa.array(digests, pa.binary()), pa.array(values, pa.binary()),
                  pa.array(keys, pa.list_(pa.int64()))],
-                ["doc_id", "digest", "signature", "bands"],
+                [*kept, "digest", "signature", "bands"],
             )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", text_or_empty().alias("text"))
-    return rows.mapInArrow(sketch, f"doc_id {kind}, digest binary, signature binary, bands array<bigint>")
+    kinds = "".join(f"{c} {docs.schema[c].dataType.simpleString()}, " for c in kept)
+    rows = docs.select(*kept, text_or_empty().alias("text"))
+    return rows.mapInArrow(sketch, f"{kinds}digest binary, signature binary, bands array<bigint>")
 
 
 def block_pairs(members: DataFrame, group: list[str], block: int) -> DataFrame:
@@ -279,6 +282,18 @@ def near_duplicates(
     ``tolerance`` by the posterior), and even then only if no chain of other pairs joins it.
     """
     ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    sketched, per_set = classified(ids, threshold, shingle, tolerance, block)
+    return sketched.select("doc_id", "digest").join(per_set, "digest").select("doc_id", "class_id", "links", "copies")
+
+
+def classified(
+    ids: DataFrame, threshold: float, shingle: int, tolerance: float, block: int
+) -> tuple[DataFrame, DataFrame]:
+    """The sketch of each row of ``ids``, and per set ``digest, label, class_id, links, copies``.
+
+    ``label`` tells classes apart, also where they have the same ``class_id`` (an id that
+    repeats) or none. If ``ids`` has a column ``_key``, a key of its rows, texts are found by it.
+    """
     sketched = materialize(sketches(ids, shingle), "sketches")
     # One node per set, named by its smallest id. Rows that share an id but not a set (an id that
     # repeats) would share a name, so such names are replaced by a hash of the set.
@@ -302,14 +317,18 @@ def near_duplicates(
     groups = components(candidate_edges(nodes, bounds, block))
     # The text of each node that is in a group: one row of the node's digest.
     members = groups.join(nodes.select("node", "digest", "first"), "node")
-    chosen = (
-        sketched.select("doc_id", "digest")
-        .join(members.select("node", "digest", "first"), "digest")
-        .where(F.col("doc_id").eqNullSafe(F.col("first")))
-        .select("doc_id", "digest", "node")
-        .distinct()
-    )
-    texts = texts_of(ids, materialize(chosen, "chosen"), shingle)
+    if "_key" in ids.columns:
+        chosen = sketched.join(members.select("node", "digest"), "digest").groupBy("node").agg(F.min("_key").alias("_key"))
+        texts = ids.select("_key", text_or_empty().alias("text")).join(materialize(chosen, "chosen"), "_key").select("node", "text")
+    else:
+        chosen = (
+            sketched.select("doc_id", "digest")
+            .join(members.select("node", "digest", "first"), "digest")
+            .where(F.col("doc_id").eqNullSafe(F.col("first")))
+            .select("doc_id", "digest", "node")
+            .distinct()
+        )
+        texts = texts_of(ids, materialize(chosen, "chosen"), shingle)
     found = materialize(verified_links(groups, texts, threshold, shingle, block), "links")
     classes = components(found.select("node", "root"))
     totals = found.groupBy("node").agg(F.sum("links").alias("links"))
@@ -318,10 +337,9 @@ def near_duplicates(
     )
     labelled = labelled.withColumn("label", F.coalesce("label", "node"))
     smallest = labelled.groupBy("label").agg(F.min("first").alias("class_id"))
-    per_set = labelled.join(smallest, "label").select(
-        "digest", "class_id", F.coalesce("links", F.lit(0).cast("bigint")).alias("links"), "copies"
+    return sketched, labelled.join(smallest, "label").select(
+        "digest", "label", "class_id", F.coalesce("links", F.lit(0).cast("bigint")).alias("links"), "copies"
     )
-    return sketched.select("doc_id", "digest").join(per_set, "digest").select("doc_id", "class_id", "links", "copies")
 
 
 def texts_of(ids: DataFrame, chosen: DataFrame, shingle: int) -> DataFrame:
@@ -346,16 +364,42 @@ def texts_of(ids: DataFrame, chosen: DataFrame, shingle: int) -> DataFrame:
     )
 
 
-def one_of_each(docs: DataFrame, **settings) -> DataFrame:
-    """``docs`` with one row of each class: the one of the smallest id (ties: smallest text).
+def one_of_each(
+    docs: DataFrame,
+    *,
+    threshold: float = THRESHOLD,
+    shingle: int = SHINGLE,
+    tolerance: float = TOLERANCE,
+    block: int = BLOCK,
+) -> DataFrame:
+    """``docs`` with one row of each class: the one of the smallest id (ties: smallest text, then
+    the smallest other columns).
 
-    Columns stay as they are. Rows without id stay if no row with an id is in their class.
+    Columns stay as they are. Rows without id come after all others of their class; a class only
+    of such rows keeps one of them. Ids may repeat: rows are told apart by a key stored with them.
     """
-    found = near_duplicates(docs, **settings)
-    keepers = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(keepers, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
-    repeated = kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").limit(1)
-    if repeated.isEmpty():
-        return kept
-    first = kept.groupBy("doc_id").agg(F.min(F.struct(*[F.col(c) for c in ["text", *[c for c in docs.columns if c not in ("text", "doc_id")]]])).alias("_row"))
-    return first.select(*[F.col("doc_id") if c == "doc_id" else F.col("_row")[c].alias(c) for c in docs.columns])
+    key = "_key"
+    while key in docs.columns:
+        key += "_"
+    keyed = materialize(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
+    ids = keyed.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.col(key).alias("_key"))
+    sketched, sets = classified(ids, threshold, shingle, tolerance, block)
+    # The rows of each class with its smallest id; class_id is null where no row has one.
+    first = materialize(
+        sketched.select("doc_id", "_key", "digest")
+        .join(sets.select("digest", "label", "class_id"), "digest")
+        .where(F.col("doc_id").eqNullSafe(F.col("class_id")))
+        .select("label", F.col("_key").alias(key)),
+        "first",
+    )
+    counted = first.groupBy("label").agg(F.count(F.lit(1)).alias("_n"), F.min(key).alias("_one"))
+    tied = first.join(counted.where("_n > 1").select("label"), "label").select(F.col("label").alias("_label"), key)
+    others = [f.name for f in docs.schema if f.name not in ("doc_id", "text") and isinstance(f.dataType, AtomicType)]
+    least = (
+        keyed.join(tied, key)
+        .groupBy("_label")
+        .agg(F.min(F.struct("text", *others, key))[key].alias("_one"))
+        .select("_one")
+    )
+    keepers = counted.where("_n = 1").select("_one").unionByName(least)
+    return keyed.join(keepers, F.col(key) == F.col("_one"), "left_semi").select(*docs.columns)

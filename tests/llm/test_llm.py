@@ -219,6 +219,27 @@ def test_near_duplicates_edges(odd, empty):
     assert jaccard_join.near_duplicates(empty).count() == 0
 
 
+def test_one_of_each_keeps_every_class(spark):
+    importable_by_tasks(spark)
+    base = [f"w{i}" for i in range(60)]
+    near = " ".join([*base[:59], "changed"])
+    rows = [
+        (None, "first text without id"), (None, "second text without id"), (None, "third text without id"),
+        (None, "third text without id"), (7, "one text of id seven"), (7, "another text of id seven"),
+        (3, " ".join(base)), (7, near), (None, near), (None, "text of nine"), (9, "text of nine"), (9, "text of nine"),
+        (5, "TEXT of five"), (5, "text of five"),
+    ]
+    want = [
+        (3, " ".join(base)), (5, "TEXT of five"), (7, "another text of id seven"), (7, "one text of id seven"),
+        (9, "text of nine"), (None, "first text without id"), (None, "second text without id"), (None, "third text without id"),
+    ]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame([(i, t, "x") for i, t in order], "doc_id bigint, text string, _key string")
+        kept = jaccard_join.one_of_each(docs)
+        got = [(r.doc_id, r.text) for r in kept.collect()]
+        assert sorted(got, key=str) == sorted(want, key=str) and kept.columns == docs.columns
+
+
 def test_posterior_bound_keeps_pairs_at_the_threshold():
     for n, fewest in jaccard_join.fewest_matches(0.8, 1e-6):
         lost = sum(math.comb(n, m) * 0.8**m * 0.2 ** (n - m) for m in range(fewest))
