@@ -21,11 +21,14 @@ from ..session import materialize
 
 
 SIZES = (2, 3, 4, 5)          # characters of an n-gram
-TRAIN_ROWS = 40_000           # labelled rows the filters are learnt from, at most
+TRAIN_ROWS = 40_000           # labelled rows the filters are learnt from, shared by the languages
+LEAST_ROWS = 100              # rows of a language that its share is not cut below
 TRAIN_CHARS = 1 << 16         # characters of each of them, at most
-MAX_GRAMS = 400_000           # n-grams kept over all languages, the most frequent ones
-MIN_ROWS = 3                  # rows of a language that hold an n-gram, at least
+MAX_GRAMS = 400_000           # n-grams kept, shared by the languages; of each the most frequent ones
+LEAST_GRAMS = 40_000          # n-grams of a language that its share is not cut below
+MIN_ROWS = 3                  # rows of a language that hold an n-gram, at least; or a tenth of its rows
 SHARE = 0.3                   # of the highest rate of any language, at least
+DOUBT_ROWS = 10               # rows without the n-gram that a rate must outweigh to claim it from others
 CELLS_PER_GRAM, HASHES = 16, 3
 PIECE_CHARS = 1 << 19         # characters handled at once
 UNKNOWN = "und"
@@ -142,23 +145,49 @@ def _spread(hashes: np.ndarray, size: int) -> Iterator[np.ndarray]:
             yield ((hashes + np.uint64(i) * second) % np.uint64(size)).astype(np.int64)
 
 
+def shares(sizes: dict, room: int, least: int) -> dict:
+    """``room`` dealt evenly to keys of the given sizes; what small ones leave goes to the others.
+
+    None gets less than ``least`` of its own, so many keys may get more than ``room`` together.
+    """
+    out = {}
+    for k, key in enumerate(sorted(sizes, key=sizes.get)):
+        out[key] = min(sizes[key], max(least, room // (len(sizes) - k)))
+        room = max(0, room - out[key])
+    return out
+
+
+def by_language(values: dict[str, float]) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), F.col("lang"))
+
+
 def train(rows: DataFrame, *, train_rows: int = TRAIN_ROWS, max_grams: int = MAX_GRAMS) -> Model:
     """Learns from ``text`` and ``lang`` of ``rows``; rows where either is null are left out.
 
-    At most about ``train_rows`` rows (a hash of the text chooses them) with their first
-    ``TRAIN_CHARS`` characters, and at most ``max_grams`` n-grams: what reaches the driver, and
-    every task, has a fixed bound at any size of the corpus. N-grams belong to each language
+    Each language has its own share of about ``train_rows`` different texts (a hash of the text
+    chooses them; a language with fewer is read whole), with their first ``TRAIN_CHARS``
+    characters, and its own share of about ``max_grams`` n-grams: what reaches the driver, and
+    every task, is bounded per language at any size of the corpus, and no language or label takes
+    room from another below ``LEAST_ROWS`` and ``LEAST_GRAMS``. N-grams belong to each language
     whose rows hold them at ``SHARE`` of the rate of the language that holds them most, so a few
-    wrong labels do no harm. Without rows the model has no language.
+    wrong labels do no harm; a language of few rows claims less (``DOUBT_ROWS``). Without rows
+    the model has no language.
     """
     usable = rows.select(F.col("text"), F.col("lang").cast("string").alias("lang")).where(
         "text is not null and lang is not null"
     )
-    total = usable.count()
-    if not total:
+    # A text counts once in its language. Hashes stand for the texts here, so that this is narrow.
+    texts = materialize(
+        usable.select("lang", F.xxhash64(F.lit(3), "text").alias("part"), F.xxhash64(F.lit(4), "text").alias("other")).distinct(),
+        "texts",
+    )
+    all_sizes = _sizes(texts)
+    if not all_sizes:
         return Model([], np.zeros((1, 1), np.uint64), np.zeros(0))
-    part = F.pmod(F.xxhash64(F.lit(3), "text"), F.lit(1 << 30)) < int((1 << 30) * min(1, train_rows / total))
-    sample = usable.where(part) if total > train_rows else usable
+    drawn = shares(all_sizes, train_rows, LEAST_ROWS)
+    part = F.pmod("part", F.lit(1 << 30)) < by_language({x: int((1 << 30) * (drawn[x] / n)) for x, n in all_sizes.items()})
+    sizes = _sizes(texts.where(part))
+    sample = usable.withColumn("part", F.xxhash64(F.lit(3), "text")).where(part).select("text", "lang").distinct()
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,30 +208,23 @@ def train(rows: DataFrame, *, train_rows: int = TRAIN_ROWS, max_grams: int = MAX
 
     counted = sample.mapInArrow(count, "lang string, gram bigint, n bigint")
     counted = materialize(counted.groupBy("gram", "lang").agg(F.sum("n").alias("n")), "grams")
-    sizes = {r["lang"]: r["n"] for r in sample.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    size_of = F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv])
-    rate = F.col("n") / F.element_at(size_of, F.col("lang"))
-    tops = (
-        counted.where(F.col("n") >= min(MIN_ROWS, min(sizes.values())))
-        .withColumn("rate", rate)
+    fewest = F.least(F.lit(MIN_ROWS), F.greatest(F.lit(1), F.floor(by_language(sizes) / 10)))
+    rate, claim = F.col("n") / by_language(sizes), F.col("n") / (by_language(sizes) + DOUBT_ROWS)
+    owned = materialize(
+        counted.where(F.col("n") >= fewest)
+        .withColumns({"rate": rate, "claim": claim})
         .groupBy("gram")
-        .agg(F.max("rate").alias("top"), F.collect_list(F.struct("lang", "rate")).alias("langs"))
-        .orderBy(F.desc("top"), "gram")
-        .limit(max_grams)
-        .select(
-            "gram",
-            F.transform(
-                F.filter("langs", lambda x: x["rate"] >= SHARE * F.col("top")), lambda x: x["lang"]
-            ).alias("langs"),
-        )
+        .agg(F.max("claim").alias("top"), F.collect_list(F.struct("lang", "n", "rate")).alias("langs"))
+        .select("gram", F.inline(F.filter("langs", lambda x: x["rate"] >= SHARE * F.col("top"))))
+        .select("gram", "lang", "n"),
+        "owned",
     )
-    kept = tops.toPandas()
+    kept = owned.where(_most_frequent(owned, max_grams)).select("gram", "lang").toPandas()
     languages = sorted(sizes, key=lambda x: x.encode())
-    cells = np.zeros((max(64, CELLS_PER_GRAM * len(kept)), -(-len(languages) // 64)), np.uint64)
-    hashes = kept["gram"].to_numpy().astype(np.int64).view(np.uint64)
+    cells = np.zeros((max(64, CELLS_PER_GRAM * kept["gram"].nunique()), -(-len(languages) // 64)), np.uint64)
     chance = np.zeros(len(languages))
     for k, lang in enumerate(languages):
-        own = hashes[[lang in x for x in kept["langs"]]] if len(kept) else hashes
+        own = kept["gram"][kept["lang"] == lang].to_numpy().astype(np.int64).view(np.uint64)
         bit = np.uint64(1) << np.uint64(k % 64)
         for at in _spread(own, len(cells)):
             cells[at, k // 64] |= bit
@@ -210,6 +232,30 @@ def train(rows: DataFrame, *, train_rows: int = TRAIN_ROWS, max_grams: int = MAX
     return Model(languages, cells, np.minimum(chance, 0.99))
 
 
+def _sizes(rows: DataFrame) -> dict[str, int]:
+    return {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
+def _most_frequent(owned: DataFrame, max_grams: int) -> Column:
+    """The share of each language: its n-grams above some count, and by hash those with that count.
+
+    The counts of a language are few, so no task sorts its n-grams.
+    """
+    held = owned.groupBy("lang", "n").agg(F.count(F.lit(1)).alias("grams")).toPandas().sort_values("n", ascending=False)
+    room = shares(held.groupby("lang")["grams"].sum().to_dict(), max_grams, LEAST_GRAMS)
+    count, share = {}, {}
+    for lang, own in held.groupby("lang"):
+        upto = own["grams"].cumsum()
+        at = min(int((upto < room[lang]).sum()), len(own) - 1)
+        count[lang], size = int(own["n"].iloc[at]), int(own["grams"].iloc[at])
+        share[lang] = (room[lang] - (int(upto.iloc[at]) - size)) / size
+    if not count:
+        return F.lit(True)
+    edge = by_language(count)
+    drawn = F.pmod(F.xxhash64(F.lit(5), "gram"), F.lit(1 << 30)) < by_language(share) * (1 << 30)
+    return (F.col("n") > edge) | ((F.col("n") == edge) & drawn)
+
+
 def identify(docs: DataFrame, model: Model, *, lang: str = "lang_pred", score: str = "score") -> DataFrame:
     """``docs`` with the predicted language and its score; only ``text`` is looked at.
 

@@ -264,6 +264,33 @@ def test_language_edges(odd, empty):
     assert langid.learn_and_identify(empty).count() == 0
 
 
+def made_up(rng, letters, n, words=120):
+    """Texts of one language: words from a vocabulary of its own syllables."""
+    syllables = ["".join(rng.choice(list(letters), 3)) for _ in range(40)]
+    vocabulary = ["".join(rng.choice(syllables, int(rng.integers(1, 4)))) for _ in range(400)]
+    return [" ".join(rng.choice(vocabulary, words)) for _ in range(n)]
+
+
+def test_language_rare_and_junk_labels(spark):
+    importable_by_tasks(spark)
+    rng = np.random.default_rng(11)
+    large = [(t, lang) for lang, letters in (("aa", "abcdefghi"), ("bb", "jklmnopqr")) for t in made_up(rng, letters, 300)]
+    rare = [(t, "rr") for t in made_up(rng, "stuvwxyzäö", 8)]
+    junk = [("".join(rng.choice([*map(chr, range(0x4E00, 0x6E00)), " "], 20_000)), "junk") for _ in range(2)]
+    copies = [(large[0][0], "aa")] * 900
+    rows = [*large, *rare[:4], *junk, *copies]
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    model = langid.train(docs, train_rows=200, max_grams=3000)
+    for text, lang in [*large, *rare]:
+        said, score = model.decide(text)
+        assert said == lang and score >= corpus_pipeline.MIN_SCORE, (lang, said, score)
+
+
+def test_shares_leave_room_to_every_language():
+    assert langid.shares({"a": 10, "b": 1000, "c": 400}, 900, 1) == {"a": 10, "b": 490, "c": 400}
+    assert langid.shares({"a": 5, "b": 500}, 10, 100) == {"a": 5, "b": 100}
+
+
 # ---------------------------------------------------------------- fingerprints
 
 
