@@ -6,9 +6,10 @@ says what a missing operand gives, because the flags of the feature frame differ
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -16,6 +17,16 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join by column names where missing keys are equal, as they are in groups and windows.
+
+    Key columns are those of ``left``.
+    """
+    names = {k: f"_right_{k}" for k in keys}
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()])
+    return left.join(right.withColumnsRenamed(names), same, how).drop(*names.values())
+
+
 def div(a: Column | str, b: Column | str) -> Column:
     """a / b; NULL for a zero or missing divisor (ANSI division would raise)."""
     return F.try_divide(col(a), col(b))

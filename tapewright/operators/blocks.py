@@ -90,7 +90,9 @@ def _number_split(
     bars: DataFrame, keys: tuple, order: str, totals: dict[str, Column], span: int
 ) -> DataFrame:
     """Counts and sums per (series, time block), their running values over the blocks, then
-    the position inside the block. The join and the in-block window share one shuffle."""
+    the position inside the block. The offsets enter the in-block window as a row before the
+    block's first, so they need no join and no shuffle of their own, and rows with a missing key
+    or time keep theirs."""
     names = list(totals)
     spans = bars.withColumns(
         {"_span": F.floor(epoch_seconds(order) / span)}
@@ -108,15 +110,21 @@ def _number_split(
         F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_n0"),
         *[F.coalesce(F.sum(f"_s_{n}").over(earlier), F.lit(0.0)).alias(f"_s0_{n}") for n in names],
     )
-    inside = Window.partitionBy(*span_keys).orderBy(order)
+    inside = Window.partitionBy(*span_keys).orderBy("_bar", order)
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    numbered = spans.join(offsets, span_keys).withColumns(
-        {"seq": F.col("_n0") + F.row_number().over(inside) - 1}
+    both = spans.withColumn("_bar", F.lit(True)).unionByName(
+        offsets.withColumn("_bar", F.lit(False)), allowMissingColumns=True
+    )
+    numbered = both.withColumns(
+        {"seq": F.max("_n0").over(upto) + F.row_number().over(inside) - 2}
         | {
-            n: F.when(F.col(f"_v_{n}").isNotNull(), F.col(f"_s0_{n}") + F.sum(f"_v_{n}").over(upto))
+            n: F.when(
+                F.col(f"_v_{n}").isNotNull(),
+                F.max(f"_s0_{n}").over(upto) + F.sum(f"_v_{n}").over(upto),
+            )
             for n in names
         }
-    )
+    ).where("_bar")
     # Stored, because the plans that follow read it more than once.
     return materialize(numbered.select(*bars.columns, "seq", *names), "ordered")
 

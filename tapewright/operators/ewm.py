@@ -25,6 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import join_on
 from .blocks import Ordered
 
 RUN = 256
@@ -77,7 +78,7 @@ def ewm_means(o: Ordered, means: list[Ewm]) -> Ordered:
     sources = list(dict.fromkeys(m.source for m in means))
     inside = _inside_runs(o.df, keys, means, sources)
     states = _run_states(inside, keys, means, sources)
-    joined = inside.join(states, [*o.keys, "_run"])
+    joined = join_on(inside, states, [*o.keys, "_run"])
     out = [f"{_value(i, m, sources.index(m.source))} AS `{m.out}`" for i, m in enumerate(means)]
     return o.with_df(joined.selectExpr(*[f"`{c}`" for c in o.df.columns], *out))
 

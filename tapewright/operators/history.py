@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import join_on
 from ..schemas import HISTORY_ROWS
 from ..session import materialize
 
@@ -66,7 +67,7 @@ def newest(
     )
     in_day = Window.partitionBy(*keys, "_day").orderBy(F.desc(order))
     return (
-        dated.join(needed, [*keys, "_day"])
+        join_on(dated, needed, [*keys, "_day"])
         .withColumn("_rank", F.col("_after") + F.row_number().over(in_day))
         .where(F.col("_rank") <= n)
         .select(*rows.columns)
@@ -120,4 +121,4 @@ def upsert(
 def with_min_history(rows: DataFrame, n: int, *, keys: Sequence[str] = ("series",)) -> DataFrame:
     """Rows of series that have at least ``n`` of them."""
     enough = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= n)
-    return rows.join(enough.select(*keys), list(keys), "left_semi")
+    return join_on(rows, enough.select(*keys), keys, "left_semi")

@@ -12,6 +12,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import join_on
 from ..session import materialize
 
 GROUP_ROWS = 20_000   # values of one group that may sit in one array
@@ -108,7 +109,7 @@ def tail_spread_by_rank(
     )
     inside = Window.partitionBy(*group, "_piece").orderBy("_v")
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.join(starts, [*group, "_piece"]).withColumn(
+    ranked = join_on(counted, starts, [*group, "_piece"]).withColumn(
         "_next", F.col("_start") + F.sum("_n").over(upto)
     )
 
@@ -134,8 +135,8 @@ def tail_spread_by_rank(
     )
     v, n = F.col("_v"), F.col("_n")
     # Levels travel with the pieces, so that this join too is spread over the pieces.
-    bounds = starts.select(*group, "_piece").join(levels, group)
-    tails = counted.join(bounds, [*group, "_piece"]).where(
+    bounds = join_on(starts.select(*group, "_piece"), levels, group)
+    tails = join_on(counted, bounds, [*group, "_piece"]).where(
         (v >= F.col("_high")) | (v <= F.col("_low"))
     )
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import div, flag, sign, typical_price, zero_as_missing
+from ..functions.columns import div, flag, join_on, sign, typical_price, zero_as_missing
 from ..schemas import (
     ADV_MIN_PERIODS,
     ADV_WINDOW,
@@ -129,7 +129,7 @@ def cross_section(
         rows = rows.withColumn("vwap_pca1", F.col("_projected") - centre(loadings))
     if not bounded:
         for source, out in (("vwap_pressure", "vwap_tb_spread"), ("ret", "ret_tb_spread")):
-            rows = rows.join(tail_spread_by_rank(members, ["bar_ts"], source, out), "bar_ts", "left")
+            rows = join_on(rows, tail_spread_by_rank(members, ["bar_ts"], source, out), ["bar_ts"], "left")
     return rows.select("bar_ts", *names)
 
 

@@ -118,3 +118,12 @@ def test_stack_and_min_history(spark):
     assert both.columns == a.columns and both.where("volume IS NULL").count() == 10
     kept = with_min_history(both, 20)
     assert {r["series"] for r in kept.select("series").distinct().collect()} == {"A"}
+
+
+def test_missing_keys_and_times_stay_in_the_history(spark):
+    frames = [walk(40, seed=k, series=s) for k, s in enumerate(["A", None])]
+    frames[0].loc[3, "bar_ts"] = pd.NaT
+    bars = to_spark(spark, pd.concat(frames))
+    assert newest(bars, 100).count() == with_min_history(bars, 40).count() == 80
+    assert newest(bars, 5).where("series is null").count() == 5
+    assert newest(bars, 5).where("bar_ts is null").count() == 0  # a missing time is the oldest

@@ -159,3 +159,23 @@ def test_reference_levels_of_provisional_bar(spark):
     assert got["hi"][6] == frame["high"][4:6].max()
     assert got["hi"][7] == frame["high"][4:6].max()  # the provisional bar is one row further
     assert got["lo"][7] == frame["low"][4:6].min()
+
+
+def test_layouts_agree_on_missing_keys_and_times(spark):
+    frames = [walk(200, seed=k, series=s) for k, s in enumerate(["A", "B", None])]
+    for frame in frames:
+        frame.loc[57, "bar_ts"] = pd.NaT
+    bars = to_spark(spark, pd.concat(frames))
+    found = []
+    for layout in LAYOUTS.values():
+        o = ordered(bars, bar_seconds=300, totals={"total": F.col("volume")}, **layout)
+        o = o.derive(20, lambda w: {"mean": W.rolling_mean("close", 20, w)})
+        o = ewm_means(o, [Ewm("smooth", "close", 12, True)])
+        names = ["series", "bar_ts", "close", "seq", "total", "mean", "smooth"]
+        found.append(o.df.select(*names).toPandas().sort_values(["series", "seq"]).reset_index(drop=True))
+    whole, split = found
+    assert len(whole) == len(split) == 600
+    assert whole["series"].isna().sum() == split["series"].isna().sum() == 200
+    assert (whole["bar_ts"].isna() == split["bar_ts"].isna()).all()
+    for name in ("close", "seq", "total", "mean", "smooth"):
+        same(whole[name], split[name])

@@ -138,3 +138,15 @@ def test_pca_against_dense_solver(spark):
     same(loadings["mean"], wide.mean(), 1e-12)
     fitted = spark.createDataFrame(loadings.reset_index()[["series", "mean", "weight"]], LOADINGS)
     same(to_pandas(project(symbols, fitted), "bar_ts")["vwap_pca1"], x @ axis, 1e-9)
+
+
+def test_spread_of_a_missing_group(spark):
+    rng = np.random.default_rng(5)
+    rows = [(None if i % 2 else "g", float(v)) for i, v in enumerate(rng.normal(0, 1, 120))]
+    df = spark.createDataFrame(rows, "g string, v double")
+    arrays = tail_spread(df.groupBy("g").agg(F.collect_list("v").alias("a")), {"a": "s"})
+    want = {r.g: r.s for r in arrays.collect()}
+    for group_rows in (10, 1000):
+        got = {r.g: r.s for r in tail_spread_by_rank(df, ["g"], "v", "s", pieces=4, group_rows=group_rows).collect()}
+        assert got.keys() == want.keys() == {None, "g"}
+        assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
