@@ -23,7 +23,6 @@ from ..session import materialize
 SIZES = (2, 3, 4, 5)          # characters of an n-gram
 TRAIN_ROWS = 40_000           # labelled rows the filters are learnt from, shared by the languages
 LEAST_ROWS = 100              # rows of a language that its share is not cut below
-TRAIN_CHARS = 1 << 16         # characters of each of them, at most
 MAX_GRAMS = 400_000           # n-grams kept, shared by the languages; of each the most frequent ones
 LEAST_GRAMS = 40_000          # n-grams of a language that its share is not cut below
 MIN_ROWS = 3                  # rows of a language that hold an n-gram, at least; or a tenth of its rows
@@ -165,8 +164,7 @@ def train(rows: DataFrame, *, train_rows: int = TRAIN_ROWS, max_grams: int = MAX
     """Learns from ``text`` and ``lang`` of ``rows``; rows where either is null are left out.
 
     Each language has its own share of about ``train_rows`` different texts (a hash of the text
-    chooses them; a language with fewer is read whole), with their first ``TRAIN_CHARS``
-    characters, and its own share of about ``max_grams`` n-grams: what reaches the driver, and
+    chooses them; a language with fewer is read whole), each to its end, and its own share of about ``max_grams`` n-grams: what reaches the driver, and
     every task, is bounded per language at any size of the corpus, and no language or label takes
     room from another below ``LEAST_ROWS`` and ``LEAST_GRAMS``. N-grams belong to each language
     whose rows hold them at ``SHARE`` of the rate of the language that holds them most, so a few
@@ -196,7 +194,7 @@ def train(rows: DataFrame, *, train_rows: int = TRAIN_ROWS, max_grams: int = MAX
                 found, held = [], 0
                 own = [t for t, x in zip(texts, langs, strict=True) if x == lang]
                 for i, text in enumerate(own):
-                    found.append(np.unique(grams(text[:TRAIN_CHARS])))
+                    found.append(np.unique(np.concatenate([np.unique(grams(p)) for p in pieces(text)])))
                     held += len(found[-1])
                     if held > 4_000_000 or i == len(own) - 1:
                         h, n = np.unique(np.concatenate(found), return_counts=True)

@@ -286,6 +286,17 @@ def test_language_rare_and_junk_labels(spark):
         assert said == lang and score >= corpus_pipeline.MIN_SCORE, (lang, said, score)
 
 
+def test_language_learns_whole_texts(spark):
+    importable_by_tasks(spark)
+    rng = np.random.default_rng(12)
+    header, body, tail = (made_up(rng, letters, 1, n)[0] for letters, n in (("0123456789", 90_000), ("abcdefghi", 90_000), ("stuvwxyzäö", 300)))
+    text = f"{header[: langid.PIECE_CHARS - 5]} {body} {tail}"
+    model = langid.train(spark.createDataFrame([(text, "aa")], "text string, lang string"))
+    for part in (body[-3000:], tail):
+        said, score = model.decide(part)
+        assert said == "aa" and score >= 0.9, score
+
+
 def test_shares_leave_room_to_every_language():
     assert langid.shares({"a": 10, "b": 1000, "c": 400}, 900, 1) == {"a": 10, "b": 490, "c": 400}
     assert langid.shares({"a": 5, "b": 500}, 10, 100) == {"a": 5, "b": 100}
