@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard_join, langid, line_dedup, mixing, packing, secrets, simhash, topk, warc_zip
+from . import (
+    centroids,
+    chat,
+    divergence,
+    jaccard_join,
+    langid,
+    line_dedup,
+    mixing,
+    packing,
+    secrets,
+    simhash,
+    substring_dedup,
+    topk,
+    warc_zip,
+)
 from .common import importable_by_tasks
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -92,6 +106,19 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text"), 256).alias("kept_sha256"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings")).drop("centroid")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_mixing": op2_mixing,
@@ -103,4 +130,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bm25_search": op8_bm25_search,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_secret_scan": op10_secret_scan,
+    "op11_substring_dedup": op11_substring_dedup,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }

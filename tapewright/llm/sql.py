@@ -94,9 +94,97 @@ SELECT conv_id, count(*) AS n_turns,
 FROM t GROUP BY conv_id
 """
 
+OP11 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (SELECT rid, doc_id, w, unnest(range(1, greatest(len(w) - 11, 1))) AS i FROM d),
+k AS (SELECT rid, doc_id, i, array_to_string(list_slice(w, i, i + 12), ' ') AS k FROM s),
+f AS (SELECT k, min(doc_id) AS first FROM k GROUP BY k),
+gone AS (
+  SELECT DISTINCT rid, i + j AS i
+  FROM (SELECT rid, i FROM k JOIN f USING (k) WHERE first < doc_id), (SELECT unnest(range(13)) AS j)),
+words AS (SELECT rid, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+kept AS (
+  SELECT rid, count(*) AS n_kept, string_agg(word, ' ' ORDER BY i) AS text
+  FROM words ANTI JOIN gone USING (rid, i) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n_kept, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (rid)
+"""
+
+OP12 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+o AS (SELECT rid, lang, source, unnest(w) AS term FROM d),
+kept AS (
+  SELECT lang, term, count(*)::HUGEINT AS c FROM o GROUP BY lang, term HAVING count(DISTINCT rid) >= 3),
+v AS (SELECT lang, count(*)::HUGEINT AS v, sum(c)::HUGEINT AS n FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*)::HUGEINT AS c FROM o SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+n AS (SELECT lang, source, sum(c)::HUGEINT AS n FROM c GROUP BY ALL),
+p AS (
+  SELECT g.lang, g.source, kept.term, coalesce(c.c, 0) AS c,
+         1 + (1000000000::HUGEINT * (coalesce(c.c, 0) + 1)) // (coalesce(n.n, 0) + v.v) AS p,
+         1 + (1000000000::HUGEINT * (kept.c + 1)) // (v.n + v.v) AS lang_p
+  FROM g JOIN kept USING (lang) JOIN v USING (lang)
+  LEFT JOIN n USING (lang, source) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+pair AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM p AS a JOIN p AS b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+  GROUP BY ALL),
+both_ AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(pair.value, 0) AS BIGINT) AS value
+  FROM g AS a JOIN g AS b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, CAST((p - lang_p) * (p - lang_p) // lang_p AS BIGINT)
+  FROM p WHERE c > 0 AND p > lang_p)
+SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM both_ QUALIFY part = 'pair' OR rank <= 200
+"""
+
+
+def op13(k: int = 40, rounds: int = 5) -> str:
+    """One step of SQL per round: place the vectors, then move the centroids."""
+    place = """a{r} AS MATERIALIZED (
+  SELECT rid, k, d FROM (
+    SELECT rid, k, sum((x - y) * (x - y)) AS d FROM v JOIN c{r} USING (i) GROUP BY rid, k)
+  QUALIFY row_number() OVER (PARTITION BY rid ORDER BY d, k) = 1),
+"""
+    move = """m{r} AS (SELECT k, i, sum(x)::HUGEINT AS s, count(*)::HUGEINT AS n FROM a{r} JOIN v USING (rid) GROUP BY k, i),
+c{n} AS MATERIALIZED (
+  SELECT k, i, coalesce((s - ((s % n) + n) % n) // n, y)::BIGINT AS y FROM c{r} LEFT JOIN m{r} USING (k, i)),
+"""
+    steps = "".join(place.format(r=r) + move.format(r=r, n=r + 1) for r in range(rounds))
+    return f"""
+WITH e AS (SELECT row_number() OVER () AS rid, vec_id, embedding FROM embeddings WHERE len(embedding) = 64),
+u AS (SELECT rid, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM e),
+ok AS (SELECT rid FROM u GROUP BY rid HAVING count(*) FILTER (isfinite(x)) = 64),
+v AS MATERIALIZED (SELECT rid, i, floor(256 * x)::BIGINT AS x FROM u SEMI JOIN ok USING (rid)),
+whole AS (SELECT rid, list(x ORDER BY i) AS v FROM v GROUP BY rid),
+f AS (
+  SELECT row_number() OVER (ORDER BY sha256('2:' || coalesce(vec_id::VARCHAR, 'null')), v) - 1 AS k, rid
+  FROM e JOIN whole USING (rid) QUALIFY k < {k}),
+c0 AS MATERIALIZED (SELECT k, i, x AS y FROM f JOIN v USING (rid)),
+{steps}{place.format(r=rounds)}
+h AS (SELECT k, sha256(string_agg(y::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY k)
+SELECT vec_id, CAST(k AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance,
+       CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+       centroid_sha256
+FROM a{rounds} JOIN e USING (rid) JOIN h USING (k)
+"""
+
+
 ORACLES: dict[str, str] = {
     "op2_mixing": OP2,
     "op3_warc_zip": OP3,
     "op4_line_dedup": OP4,
     "op9_chat_formatting": OP9,
+    "op11_substring_dedup": OP11,
+    "op12_source_divergence": OP12,
+    "op13_centroid_clustering": op13(),
 }

@@ -51,7 +51,7 @@ def documents():
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "pages", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want, got = con.execute(ORACLES[name]).df(), QUERIES[name](spark, SF).toPandas()
     assert sorted(want.columns) == sorted(got.columns)
