@@ -17,14 +17,23 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def key_of(*keys: str) -> Column:
+    """All keys as one value that is never missing.
+
+    A struct is not NULL when its fields are, and equal structs have equal or equally missing
+    fields. So it groups, partitions windows and joins by plain equality, and a frame that is
+    laid out by it for one of these needs no other shuffle for the next.
+    """
+    return F.struct(*keys)
+
+
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join by column names where missing keys are equal, as they are in groups and windows.
 
     Key columns are those of ``left``.
     """
-    names = {k: f"_right_{k}" for k in keys}
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()])
-    return left.join(right.withColumnsRenamed(names), same, how).drop(*names.values())
+    lefts, rights = left.withColumn("_key", key_of(*keys)), right.withColumn("_key", key_of(*keys))
+    return lefts.join(rights.drop(*keys), "_key", how).drop("_key")
 
 
 def div(a: Column | str, b: Column | str) -> Column:

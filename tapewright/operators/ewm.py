@@ -25,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import join_on
+from ..functions.columns import key_of
 from .blocks import Ordered
 
 RUN = 256
@@ -76,16 +76,18 @@ def ewm_means(o: Ordered, means: list[Ewm]) -> Ordered:
     """
     keys = ", ".join(f"`{k}`" for k in o.keys)
     sources = list(dict.fromkeys(m.source for m in means))
-    inside = _inside_runs(o.df, keys, means, sources)
+    inside = _inside_runs(o.df, o.keys, means, sources)
     states = _run_states(inside, keys, means, sources)
-    joined = join_on(inside, states, [*o.keys, "_run"])
+    # Runs were laid out by this key for the window, so the join moves the states only.
+    states = states.withColumn("_key", key_of(*o.keys, "_run")).drop(*o.keys, "_run")
+    joined = inside.join(states, "_key")
     out = [f"{_value(i, m, sources.index(m.source))} AS `{m.out}`" for i, m in enumerate(means)]
     return o.with_df(joined.selectExpr(*[f"`{c}`" for c in o.df.columns], *out))
 
 
-def _inside_runs(df: DataFrame, keys: str, means: list[Ewm], sources: list[str]) -> DataFrame:
+def _inside_runs(df: DataFrame, keys: tuple[str, ...], means: list[Ewm], sources: list[str]) -> DataFrame:
     """Sums since the start of the run, in three levels over one window."""
-    line = f"PARTITION BY {keys}, _run ORDER BY seq"
+    line = "PARTITION BY _key ORDER BY seq"
     upto = f"OVER ({line} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     before = f"OVER ({line} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 
@@ -116,7 +118,7 @@ def _inside_runs(df: DataFrame, keys: str, means: list[Ewm], sources: list[str])
                 f"coalesce(sum({m.new_share(steps)} * {x} * exp(_nats{i})) {upto}, 0D)"
                 f" * exp(-_nats{i}) AS _sum{i}"
             )
-    runs = df.withColumn("_run", F.floor(F.col("seq") / RUN))
+    runs = df.withColumn("_run", F.floor(F.col("seq") / RUN)).withColumn("_key", key_of(*keys, "_run"))
     for level in (seen, decays, sums):
         runs = runs.selectExpr("*", *level)
     return runs

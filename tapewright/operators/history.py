@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import join_on
+from ..functions.columns import key_of
 from ..schemas import HISTORY_ROWS
 from ..session import materialize
 
@@ -41,33 +41,57 @@ def stack(*frames: DataFrame) -> DataFrame:
     return out
 
 
+def days_needed(counts: DataFrame, n: int, keys: Sequence[str]) -> DataFrame:
+    """Of row counts ``_n`` per (keys, ``_day``): the days that can hold one of the newest ``n``
+    rows, with ``_after``, the number of rows on later days. Rows without a day are the oldest."""
+    later = Window.partitionBy("_key").orderBy(F.desc("_day"))
+    after = F.coalesce(F.sum("_n").over(later.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return (
+        counts.groupBy(key_of(*keys).alias("_key"), "_day")
+        .agg(F.sum("_n").alias("_n"))
+        .select("_key", "_day", after.alias("_after"))
+        .where(F.col("_after") < n)
+    )
+
+
 def newest(
-    rows: DataFrame, n: int = HISTORY_ROWS, *, keys: Sequence[str] = ("series",), order: str = "bar_ts"
+    rows: DataFrame,
+    n: int = HISTORY_ROWS,
+    *,
+    keys: Sequence[str] = ("series",),
+    order: str = "bar_ts",
+    catalogue: DataFrame | None = None,
 ) -> DataFrame:
     """Newest ``n`` rows per series.
 
     Row counts per day tell from which day on rows can matter at all, so only those days are
-    ranked. ``rows`` is read twice: pass a stored table. If it is partitioned by
-    ``trade_date``, the counts read no other column, and then only the days that matter are read.
+    ranked. ``rows`` is read twice: pass a stored table. If it is partitioned by ``trade_date``
+    (the day of ``order``), the join on it prunes the scan while the query runs. With
+    ``catalogue``, counts ``n`` per (keys, ``trade_date``) as ``write_bars`` stores them, nothing
+    is counted, and the days reach the scan as literals; it must not count rows that are not
+    there. Rows with a missing key are a series of their own; those without a time are its oldest.
     """
-    day = F.col("trade_date") if "trade_date" in rows.columns else F.to_date(order)
-    dated = rows.withColumn("_day", day)
-    later = Window.partitionBy(*keys).orderBy(F.desc("_day"))
-    needed = (
-        dated.groupBy(*keys, "_day")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn(
-            "_after",
-            F.coalesce(
-                F.sum("_n").over(later.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-            ),
-        )
-        .where(F.col("_after") < n)
-        .select(*keys, "_day", "_after")
+    placed = "trade_date" in rows.columns
+    day = F.col("trade_date") if placed else F.to_date(order)
+    dated = rows.withColumns({"_key": key_of(*keys), "_day": day})
+    if catalogue is not None:
+        counts = catalogue.select(*keys, F.col("trade_date").alias("_day"), F.col("n").alias("_n"))
+    else:
+        counts = dated.groupBy(*keys, "_day").agg(F.count(F.lit(1)).alias("_n"))
+    needed = days_needed(counts, n, keys)
+    known = dated.where(F.col("_day").isNotNull())
+    if placed and catalogue is not None:
+        # One row per day of the calendar at most.
+        days = [r["_day"] for r in needed.select("_day").distinct().where("_day IS NOT NULL").collect()]
+        known = known.where(F.col("trade_date").isin(days))
+    left = known.join(needed.where(F.col("_day").isNotNull()), ["_key", "_day"])
+    timeless = dated.where(F.col("_day").isNull()).join(
+        needed.where(F.col("_day").isNull()).drop("_day"), "_key"
     )
-    in_day = Window.partitionBy(*keys, "_day").orderBy(F.desc(order))
+    in_day = Window.partitionBy("_key", "_day").orderBy(F.desc(order))
     return (
-        join_on(dated, needed, [*keys, "_day"])
+        left.select(*rows.columns, "_key", "_day", "_after")
+        .unionByName(timeless.select(*rows.columns, "_key", "_day", "_after"))
         .withColumn("_rank", F.col("_after") + F.row_number().over(in_day))
         .where(F.col("_rank") <= n)
         .select(*rows.columns)
@@ -120,5 +144,6 @@ def upsert(
 
 def with_min_history(rows: DataFrame, n: int, *, keys: Sequence[str] = ("series",)) -> DataFrame:
     """Rows of series that have at least ``n`` of them."""
-    enough = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= n)
-    return join_on(rows, enough.select(*keys), keys, "left_semi")
+    keyed = rows.withColumn("_key", key_of(*keys))
+    enough = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= n)
+    return keyed.join(enough, "_key", "left_semi").select(*rows.columns)

@@ -12,7 +12,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import join_on
+from ..functions.columns import join_on, key_of
 from ..session import materialize
 
 GROUP_ROWS = 20_000   # values of one group that may sit in one array
@@ -94,6 +94,8 @@ def tail_spread_by_rank(
     else:
         counted = counted.withColumn("_piece", F.lit(0.0))
 
+    # Window and joins below share this key, so the counted values are laid out by it once.
+    counted = counted.withColumn("_key", key_of(*group, "_piece"))
     sizes = counted.groupBy(*group, "_piece").agg(F.sum("_n").alias("_rows"))
     line = Window.partitionBy(*group)
     starts = sizes.select(
@@ -106,10 +108,10 @@ def tail_spread_by_rank(
             F.lit(0),
         ).alias("_start"),
         F.sum("_rows").over(line).alias("_size"),
-    )
-    inside = Window.partitionBy(*group, "_piece").orderBy("_v")
+    ).withColumn("_key", key_of(*group, "_piece"))
+    inside = Window.partitionBy("_key").orderBy("_v")
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    ranked = join_on(counted, starts, [*group, "_piece"]).withColumn(
+    ranked = counted.join(starts.drop(*group, "_piece"), "_key").withColumn(
         "_next", F.col("_start") + F.sum("_n").over(upto)
     )
 
@@ -135,8 +137,8 @@ def tail_spread_by_rank(
     )
     v, n = F.col("_v"), F.col("_n")
     # Levels travel with the pieces, so that this join too is spread over the pieces.
-    bounds = join_on(starts.select(*group, "_piece"), levels, group)
-    tails = join_on(counted, bounds, [*group, "_piece"]).where(
+    bounds = join_on(starts.select(*group, F.col("_key").alias("_key2")), levels, group).select("_key2", "_high", "_low")
+    tails = counted.join(bounds.withColumnRenamed("_key2", "_key"), "_key").where(
         (v >= F.col("_high")) | (v <= F.col("_low"))
     )
 

@@ -10,7 +10,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.clock import bar_floor, in_session, minutes, session_open
-from ..schemas import BAR, INSTRUMENT, OHLC, XSECTION_COLUMNS, SessionSpec, history_schema
+from ..operators.history import newest
+from ..schemas import BAR, HISTORY_ROWS, INSTRUMENT, OHLC, XSECTION_COLUMNS, SessionSpec, history_schema
+
+STORED = T.StructType([*BAR.fields, T.StructField("trade_date", T.DateType())])
+DAY_COUNTS = "_day_counts"
+DAY_COUNT = T.StructType(
+    [
+        T.StructField("series", T.StringType()),
+        T.StructField("trade_date", T.DateType()),
+        T.StructField("n", T.LongType()),
+    ]
+)
 
 
 def time_range(rows: DataFrame, start: datetime, end: datetime, ts: str = "bar_ts") -> DataFrame:
@@ -34,8 +45,7 @@ def read_bars(
 
     On a table written by ``write_bars`` the range also prunes day folders.
     """
-    stored = T.StructType([*BAR.fields, T.StructField("trade_date", T.DateType())])
-    bars = spark.read.schema(stored).parquet(path)
+    bars = spark.read.schema(STORED).parquet(path)
     if series is not None:
         bars = bars.where(F.col("series").isin(*series))
     if start is not None:
@@ -46,8 +56,16 @@ def read_bars(
 
 
 def write_bars(bars: DataFrame, path: str, mode: str = "append") -> None:
-    """Store bars in day folders. Rows are brought together by day first, so that there are few
-    files; the rebalance hint lets Spark split a day that is too large for one task."""
+    """Store bars in day folders, and their row counts per (series, day) beside them.
+
+    Rows are brought together by day first, so that there are few files; the rebalance hint lets
+    Spark split a day that is too large for one task. ``bars`` is read twice: pass a stored
+    table. Counts are written last, so after a failure in between there are too few of them,
+    which costs readers pruning but no row.
+    """
+    counted = bars.groupBy("series", F.to_date("bar_ts").alias("trade_date")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
     (
         bars.withColumn("trade_date", F.to_date("bar_ts"))
         .hint("rebalance", "trade_date")
@@ -55,6 +73,19 @@ def write_bars(bars: DataFrame, path: str, mode: str = "append") -> None:
         .partitionBy("trade_date")
         .parquet(path)
     )
+    # A name that starts with an underscore is no data to readers of ``path``.
+    counted.write.mode(mode).parquet(f"{path}/{DAY_COUNTS}")
+
+
+def day_counts(spark: SparkSession, path: str) -> DataFrame:
+    """Rows ``n`` per (series, ``trade_date``) of a table written by ``write_bars``."""
+    return spark.read.schema(DAY_COUNT).parquet(f"{path}/{DAY_COUNTS}")
+
+
+def read_newest(spark: SparkSession, path: str, n: int = HISTORY_ROWS) -> DataFrame:
+    """Newest ``n`` stored bars per series; only the days that hold one of them are read."""
+    stored = spark.read.schema(STORED).parquet(path)
+    return newest(stored, n, catalogue=day_counts(spark, path)).select(*BAR.names)
 
 
 def read_seed_history(spark: SparkSession, path: str, prefix: str = "index_") -> DataFrame:

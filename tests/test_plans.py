@@ -1,6 +1,7 @@
 """Shapes of physical plans that matter at scale."""
 
 import re
+from datetime import datetime
 
 import pandas as pd
 import pytest
@@ -10,10 +11,11 @@ from data import to_spark, walk
 from tapewright import catalog
 from tapewright.operators.bars import build_bars, merge_series
 from tapewright.operators.blocks import ordered
-from tapewright.operators.history import keep_last, newest
+from tapewright.operators.ewm import Ewm, ewm_means
+from tapewright.operators.history import keep_last, newest, with_min_history
 from tapewright.operators.windows import lag, rolling_mean
 from tapewright.session import materialize, new_path
-from tapewright.sources.tables import write_bars
+from tapewright.sources.tables import read_newest, write_bars
 
 SF_DIR = "/root/testdata/sf0.01"
 
@@ -110,3 +112,52 @@ def test_table_in_work_folder_is_read_back_whole(spark):
         stored.toPandas().sort_values("bar_ts").reset_index(drop=True),
         df.toPandas().sort_values("bar_ts").reset_index(drop=True),
     )
+
+
+def test_stored_counts_give_the_scan_its_days(spark):
+    path = new_path(spark, "bars")
+    frame = pd.concat([walk(4000, 3, "A"), walk(30, 4, "B")])
+    bars = materialize(to_spark(spark, frame), "bars")
+    early = bars.where(F.col("bar_ts") < "2024-01-03")
+    write_bars(early, path)
+    write_bars(bars.join(early, ["series", "bar_ts"], "left_anti").select(*bars.columns), path)
+    out = read_newest(spark, path, 10)
+    scans = re.findall(r"PartitionFilters: \[([^\]]*)", plan(out))
+    days = sorted({str(t)[:10] for t in frame.groupby("series")["bar_ts"].nlargest(10)})
+    assert any("trade_date" in f and "IN" in f.upper() for f in scans) or any(d in f for f in scans for d in days)
+    got = out.toPandas().sort_values(["series", "bar_ts"])
+    want = frame.sort_values(["series", "bar_ts"]).groupby("series").tail(10)
+    assert got["bar_ts"].tolist() == want["bar_ts"].tolist()
+    read = {f.split("trade_date=")[1][:10] for f in out.inputFiles() if "trade_date=" in f}
+    assert set(days) <= read
+
+
+def test_newest_keeps_rows_without_key_or_time(spark):
+    rows = [(None, None, 1.0), (None, datetime(2024, 1, 1), 2.0), ("A", None, 3.0), ("A", None, 4.0), ("A", datetime(2024, 1, 2), 5.0)]
+    df = spark.createDataFrame(rows, "series string, bar_ts timestamp_ntz, close double")
+    path = new_path(spark, "bars")
+    write_bars(df, path)
+    for table in (df, spark.read.parquet(path)):
+        assert sorted(r["close"] for r in newest(table, 2).collect() if r["series"] is None) == [1.0, 2.0]
+        assert [r["close"] for r in newest(table, 1).collect() if r["series"] == "A"] == [5.0]
+        assert newest(table, 3).count() == 5
+    assert with_min_history(df, 3).count() == 3
+
+
+def exchanges(df) -> int:
+    return plan(df).count("Exchange hashpartitioning")
+
+
+def test_a_frame_is_laid_out_once_for_window_and_join(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        bars = materialize(to_spark(spark, walk(500, 3)), "bars")
+        assert exchanges(with_min_history(bars, 3)) == 2
+        line = ordered(bars, bar_seconds=300)
+        out = ewm_means(line, [Ewm("e", "close", 5, True)]).df
+        text = plan(out)
+        wide = [x for x in re.findall(r"Exchange hashpartitioning\(([^,]*)", text) if x.startswith("_key")]
+        # Rows by run once for the window and once where the states are made from it; states once.
+        assert len(wide) <= 3 and "coalesce(" not in "".join(re.findall(r"hashpartitioning\(.*", text))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
