@@ -81,17 +81,21 @@ from .schemas import (
     EXPANSION_FEATURES,
     META_FEATURES,
     MIN_HISTORY,
+    OHLC,
     SIGNAL,
     TICK,
     XSECTION_COLUMNS,
     SessionSpec,
 )
 from .session import materialize, new_path
+from .sources.commits import Commits
 from .sources.tables import (
     append_log,
     gate,
     read_bars,
+    read_newest,
     read_seed_history,
+    since_open,
     time_range,
     write_bars,
     write_seed_history,
@@ -99,11 +103,17 @@ from .sources.tables import (
 from .streaming.live import (
     STORED_BAR,
     SignalJob,
+    backfill_store,
     live_bars,
     live_view,
+    merge_store,
+    read_open_bars,
     read_store,
     read_ticks,
     start_bar_store,
+    start_open_bars,
+    store_batch,
+    stored_rows,
 )
 
 HOURLY = SessionSpec(bar_minutes=60)
@@ -121,6 +131,8 @@ EXAMPLE_LOADINGS = {
 FRESH_FROM = datetime(2024, 1, 20)
 HISTORY_TO = datetime(2024, 1, 25)
 BACK_TO = datetime(2024, 1, 10)
+REPLAY_END = datetime(2024, 1, 16)
+RESTATED_FROM = datetime(2024, 1, 20)
 TAIL = 200
 TIE_SHIFT = 1e-9
 
@@ -851,6 +863,80 @@ def stream_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(job(path).read(spark))
 
 
+def _stored_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All bars in the form of the bar store, as a table."""
+    bars = tick_bars(spark, sf_dir).withColumn("is_final", F.lit(True))
+    return materialize(bars.select(*STORED_BAR.names), "bars")
+
+
+def stream_backfill_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A live run, a session back-fill with official (rounded) prices, then the live run's first
+    batch once more: the back-fill counts where it has bars, the live bars elsewhere."""
+    store = f"{_replay(spark, sf_dir, final=True)}/bars"
+    official = since_open(_stored_bars(spark, sf_dir), SPEC.session).withColumns(
+        {c: F.round(c) for c in OHLC}
+    )
+    backfill_store(official, store, name="session")
+    first = Commits(spark, store).all[0]
+    again = stored_rows(spark, store, STORED_BAR).where(F.col("commit") == first.name)
+    again = materialize(again.select(*STORED_BAR.names), "again")
+    store_batch(again, first.batch, store, epoch=first.epoch)
+    return read_store(spark, store, STORED_BAR).select(*BAR.names)
+
+
+def stream_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch with all days, one that restates a series, then the first one again with fewer days."""
+    store, bars = new_path(spark, "store"), _stored_bars(spark, sf_dir)
+    store_batch(bars, 0, store, epoch="run")
+    store_batch(bars.where(F.col("series") == "click").withColumn("close", F.lit(0.0)), 1, store, epoch="run")
+    store_batch(bars.where(F.col("bar_ts") < F.lit(REPLAY_END)), 0, store, epoch="run")
+    return read_store(spark, store, STORED_BAR).select(*BAR.names)
+
+
+def stream_restated_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signals written batch by batch, then the last days restated: what they gave is withdrawn
+    or replaced, as if the restated bars had been there from the start."""
+
+    def job(path: str) -> SignalJob:
+        return SignalJob(f"{path}/bars", f"{path}/signals", SIGNAL, example_plan(spark))
+
+    path = _replay(spark, sf_dir, final=True, on_batch=job)
+    stored = read_store(spark, f"{path}/bars", STORED_BAR)
+    flat = stored.where(F.col("bar_ts") >= F.lit(RESTATED_FROM)).withColumn("close", F.col("open"))
+    backfill_store(materialize(flat, "restated"), f"{path}/bars", name="restated", signals=job(path))
+    return rounded(job(path).read(spark))
+
+
+def stream_repeated_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Open bars of a stream that delivers every tick twice."""
+    files, path = new_path(spark, "ticks"), new_path(spark, "open")
+    for _ in range(2):
+        events(spark, sf_dir).write.mode("append").parquet(files)
+    _run(
+        start_open_bars(
+            read_ticks(_stream_session(spark), files), WIDTH, "1 hour", f"{path}/bars", f"{path}/state",
+            tick_key=["event_id"], trigger={"availableNow": True},
+        )
+    )
+    return read_open_bars(spark, f"{path}/bars").select(*BAR.names)
+
+
+def store_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Upsert into the bar store: only the days of the fresh bars are written again."""
+    store, bars = new_path(spark, "store"), _stored_bars(spark, sf_dir)
+    store_batch(bars, 0, store)
+    late = bars.where(F.col("bar_ts") >= F.lit(RESTATED_FROM)).where(F.col("series") == "click")
+    merge_store(spark, store, STORED_BAR, late.withColumn("close", F.col("high")), epoch="merge")
+    return read_store(spark, store, STORED_BAR).select(*BAR.names)
+
+
+def newest_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Newest bars of a stored table, found by its stored row counts per day."""
+    path = new_path(spark, "bars")
+    write_bars(materialize(series_bars(spark, sf_dir), "bars"), path)
+    return read_newest(spark, path, TAIL)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bars_ohlcv": bars_ohlcv,
     "bars_index": bars_index,
@@ -926,4 +1012,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_live_view": stream_live_view,
     "provisional_signals": provisional_signals,
     "stream_signals": stream_signals,
+    "stream_backfill_live": stream_backfill_live,
+    "stream_replay": stream_replay,
+    "stream_restated_signal": stream_restated_signal,
+    "stream_repeated_ticks": stream_repeated_ticks,
+    "store_merge": store_merge,
+    "newest_stored": newest_stored,
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,6 +56,19 @@ def bar_columns() -> list[Column]:
     ]
 
 
+def merge_bars(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Bars from partial bars with the same ``keys``, whose ticks don't overlap."""
+    return parts.groupBy(*keys).agg(
+        F.min_by("open", "open_ts").alias("open"),
+        F.max("high").alias("high"),
+        F.min("low").alias("low"),
+        F.max_by("close", "close_ts").alias("close"),
+        F.sum("volume").alias("volume"),
+        F.min("open_ts").alias("open_ts"),
+        F.max("close_ts").alias("close_ts"),
+    )
+
+
 def merge_series(bars: DataFrame, name: str) -> DataFrame:
     """All series together as one series ``name``: bars of bars, no second tick scan.
 

@@ -449,6 +449,22 @@ WHERE rn {cond}"""
 
 _ROUND_BARS = "series, bar_ts, " + _r("open high low close volume")
 
+_CLOSED = "bar_ts + INTERVAL 1 hour <= (SELECT max(ts) FROM events) - INTERVAL 1 hour"
+#: Closed bars with the last days restated (close = open), and the index made of them.
+_RESTATED_BARS = f"""parts AS (
+  SELECT event_type AS series, date_trunc('hour', ts) AS bar_ts,
+         arg_min(value, ts) AS open, max(value) AS high, min(value) AS low,
+         arg_max(value, ts) AS close, count(*)::DOUBLE AS volume, min(ts) AS open_ts, max(ts) AS close_ts
+  FROM events GROUP BY 1, 2),
+restated AS (
+  SELECT * REPLACE (CASE WHEN bar_ts >= TIMESTAMP '2024-01-20' THEN open ELSE close END AS close)
+  FROM parts WHERE {_CLOSED}),
+bars AS (SELECT series, bar_ts, open, high, low, close, volume FROM restated)"""
+_RESTATED_INDEX = """idx AS (
+  SELECT bar_ts, arg_min(open, open_ts) AS open, max(high) AS high, min(low) AS low,
+         arg_max(close, close_ts) AS close, sum(volume) AS volume
+  FROM restated GROUP BY 1)"""
+
 ORACLES: dict[str, str] = {
     "bars_ohlcv": f"WITH {BARS} SELECT * FROM bars",
     "bars_index": f"WITH {INDEX} SELECT 'ALL' AS series, * FROM idx",
@@ -678,4 +694,19 @@ ORACLES: dict[str, str] = {
         FROM full_rows""",
     "stream_signals": f"""WITH RECURSIVE {SIGNALS} SELECT * FROM sig6
         WHERE bar_ts + INTERVAL 1 hour <= (SELECT max(ts) FROM events) - INTERVAL 1 hour""",
+    "stream_backfill_live": f"""WITH {BARS}, b AS (SELECT *, bar_ts >= {_OPEN} AS official FROM bars)
+        SELECT series, bar_ts, CASE WHEN official THEN round(open) ELSE open END AS open,
+          CASE WHEN official THEN round(high) ELSE high END AS high,
+          CASE WHEN official THEN round(low) ELSE low END AS low,
+          CASE WHEN official THEN round(close) ELSE close END AS close, volume
+        FROM b WHERE official OR {_CLOSED}""",
+    "stream_replay": f"""WITH {BARS} SELECT * REPLACE (CASE WHEN series = 'click' THEN 0 ELSE close END AS close)
+        FROM bars WHERE series = 'click' OR bar_ts < TIMESTAMP '2024-01-16'""",
+    "stream_restated_signal": "WITH RECURSIVE "
+    + SIGNALS.replace(BARS, _RESTATED_BARS).replace(INDEX, _RESTATED_INDEX) + " SELECT * FROM sig6",
+    "stream_repeated_ticks": f"WITH {BARS} SELECT * FROM bars",
+    "store_merge": f"""WITH {BARS} SELECT * REPLACE (
+        CASE WHEN series = 'click' AND bar_ts >= TIMESTAMP '2024-01-20' THEN high ELSE close END AS close)
+        FROM bars""",
+    "newest_stored": f"WITH {BARS} {_NEWEST.format(t='bars', cond='<= 200')}",
 }

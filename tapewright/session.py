@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,6 +53,23 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{work_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+_scratch = threading.local()
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that this thread materializes inside are deleted at the end, for jobs that run
+    again and again and store their results elsewhere."""
+    outer, _scratch.paths = getattr(_scratch, "paths", None), []
+    try:
+        yield
+    finally:
+        paths, _scratch.paths = _scratch.paths, outer
+        for path in paths:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and read it back.
 
@@ -58,5 +78,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     the planner gets true sizes for its join choices.
     """
     path = new_path(df.sparkSession, label)
+    if getattr(_scratch, "paths", None) is not None:
+        _scratch.paths.append(path)
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
