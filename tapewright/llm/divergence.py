@@ -12,7 +12,6 @@ other, and what a task emits is one partial sum per pair of groups.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -25,11 +24,11 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from .common import LOWER, UPPER
 
-TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+#: Bytes of terms: letters, and all bytes of code points beyond ASCII. Others become spaces.
+TERM_BYTES = bytes(b if b >= 0x80 or chr(b) in LOWER else ord(chr(b).lower()) if chr(b) in UPPER else 0x20 for b in range(256))
 MIN_DOCUMENTS, TOP, UNIT = 3, 200, 10**9
 BLOCK_TERMS = 1024  # term ids of a block
 TILE_GROUPS = 64    # groups of a tile: a block of two tiles is a matrix of 1 MB
-TO_LOWER = str.maketrans(UPPER, LOWER)
 PRICED = "lang string, ga int, gb int, source string, term string, value bigint"
 
 
@@ -43,18 +42,20 @@ def group_counts(docs: DataFrame) -> DataFrame:
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: dict[tuple[str, str], tuple[Counter, Counter]] = {}
-            for lang, source, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            langs, sources = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            texts = batch.column(2).cast(pa.binary())
+            for lang, source, text in zip(langs, sources, texts, strict=True):
                 n, df = seen.setdefault((lang, source), (Counter(), Counter()))
-                here = Counter(TERM.findall(text.translate(TO_LOWER)))
-                n.update(here)
-                df.update(here.keys())
+                terms = text.as_py().translate(TERM_BYTES).split()
+                n.update(terms)
+                df.update(set(terms))
             for (lang, source), (n, df) in seen.items():
                 terms = [None, *n]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([lang] * len(terms), pa.string()),
                         pa.array([source] * len(terms), pa.string()),
-                        pa.array(terms, pa.string()),
+                        pa.array(terms, pa.binary()).cast(pa.string()),
                         pa.array([0, *n.values()], pa.int64()),
                         pa.array([0, *(df[t] for t in n)], pa.int64()),
                     ],
