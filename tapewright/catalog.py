@@ -863,6 +863,27 @@ def stream_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(job(path).read(spark))
 
 
+def _tied_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ticks whose times are cut to the minute, so that many are equal."""
+    return events(spark, sf_dir).withColumn("ts", F.date_trunc("minute", "ts").cast("timestamp_ntz"))
+
+
+def bars_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars of series and index from ticks with equal times, told apart by their id."""
+    bars = materialize(build_bars(_tied_ticks(spark, sf_dir), WIDTH, sequence="event_id"), "bars")
+    return stack(bars.select(*BAR.names), merge_series(bars, "ALL").select(*BAR.names))
+
+
+def asof_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per bar time: the newest tick at or before it; of ticks of one time, the last one."""
+    ticks = materialize(_tied_ticks(spark, sf_dir).withColumnRenamed("ts", "bar_ts"), "ticks")
+    times = materialize(index_bars(spark, sf_dir).select("bar_ts"), "times")
+    return asof_backward(
+        times, ticks.select("bar_ts", "event_id", "value"), columns=["event_id", "value"],
+        span_seconds=6 * 3600, sequence="event_id",
+    )
+
+
 def _stored_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All bars in the form of the bar store, as a table."""
     bars = tick_bars(spark, sf_dir).withColumn("is_final", F.lit(True))
@@ -1018,4 +1039,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_repeated_ticks": stream_repeated_ticks,
     "store_merge": store_merge,
     "newest_stored": newest_stored,
+    "bars_ties": bars_ties,
+    "asof_ties": asof_ties,
 }

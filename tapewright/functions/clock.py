@@ -24,6 +24,19 @@ def epoch_seconds(ts: Column | str) -> Column:
     return days * 86400 + minute_of_day(ts) * 60 + F.second(col(ts))
 
 
+def in_order(ts: Column | str, sequence: Column | str) -> Column:
+    """One number that orders rows by time, then by ``sequence`` (an integer; missing is first).
+
+    A decimal has a fixed width, so ``min_by`` and ``max_by`` over it stay hash aggregates, which
+    a struct of both columns would not.
+    """
+    micros = epoch_seconds(ts).cast("decimal(12,0)") * F.lit(10**6).cast("decimal(7,0)") + (
+        F.extract(F.lit("SECOND"), col(ts)) % 1 * 10**6
+    ).cast("decimal(7,0)")
+    number = F.coalesce(col(sequence).cast("bigint"), F.lit(-(2**63))).cast("decimal(19,0)")
+    return (micros.cast("decimal(18,0)") * F.lit(str(2 * 10**19)).cast("decimal(20,0)") + number).cast("decimal(38,0)")
+
+
 def bar_floor(ts: Column | str, width: str) -> Column:
     return F.window(col(ts), width).getField("start")
 

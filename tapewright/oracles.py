@@ -465,6 +465,16 @@ _RESTATED_INDEX = """idx AS (
          arg_max(close, close_ts) AS close, sum(volume) AS volume
   FROM restated GROUP BY 1)"""
 
+_TIED = """t AS (SELECT event_id, event_type, value, date_trunc('minute', ts) AS ts FROM events)"""
+
+
+def _tied_bars(series: str) -> str:
+    return f"""SELECT {series} AS series, date_trunc('hour', ts) AS bar_ts,
+        first(value ORDER BY ts, event_id) AS open, max(value) AS high, min(value) AS low,
+        first(value ORDER BY ts DESC, event_id DESC) AS close, count(*)::DOUBLE AS volume
+        FROM t GROUP BY 1, 2"""
+
+
 ORACLES: dict[str, str] = {
     "bars_ohlcv": f"WITH {BARS} SELECT * FROM bars",
     "bars_index": f"WITH {INDEX} SELECT 'ALL' AS series, * FROM idx",
@@ -708,5 +718,10 @@ ORACLES: dict[str, str] = {
     "store_merge": f"""WITH {BARS} SELECT * REPLACE (
         CASE WHEN series = 'click' AND bar_ts >= TIMESTAMP '2024-01-20' THEN high ELSE close END AS close)
         FROM bars""",
+    "bars_ties": f"""WITH {_TIED} {_tied_bars('event_type')} UNION ALL {_tied_bars("'ALL'")}""",
+    "asof_ties": f"""WITH {_TIED}, {INDEX},
+        r AS (SELECT ts, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM t GROUP BY 1)
+        SELECT idx.bar_ts, r.ts AS feature_ts, r.event_id, r.value
+        FROM idx ASOF LEFT JOIN r ON idx.bar_ts >= r.ts""",
     "newest_stored": f"WITH {BARS} {_NEWEST.format(t='bars', cond='<= 200')}",
 }

@@ -1,3 +1,5 @@
+from datetime import datetime, timedelta
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -6,6 +8,7 @@ from pyspark.sql import functions as F
 from data import same, to_pandas, to_spark, walk
 from tapewright.functions.clock import minutes
 from tapewright.operators.align import asof_backward, complete_on_time, left_on_time
+from tapewright.operators.bars import build_bars, merge_series
 from tapewright.operators.history import (
     keep_first,
     keep_last,
@@ -16,6 +19,7 @@ from tapewright.operators.history import (
     upsert,
     with_min_history,
 )
+from tapewright.session import materialize
 
 
 @pytest.mark.parametrize("span", [600, 3600, 10**7])
@@ -127,3 +131,31 @@ def test_missing_keys_and_times_stay_in_the_history(spark):
     assert newest(bars, 100).count() == with_min_history(bars, 40).count() == 80
     assert newest(bars, 5).where("series is null").count() == 5
     assert newest(bars, 5).where("bar_ts is null").count() == 0  # a missing time is the oldest
+
+
+@pytest.mark.parametrize("files", [1, 3, 7])
+def test_equal_times_don_t_depend_on_the_layout(spark, files):
+    at = [datetime(2024, 1, 1, 9, m // 4, 0, 250_000 * (m % 2)) for m in range(40)]
+    rows = [(int(i), t, "AB"[i % 2], float(i * 7 % 11)) for i, t in zip(np.random.default_rng(1).permutation(40), at, strict=True)]
+    ddl = "event_id long, ts timestamp_ntz, event_type string, value double"
+    df = spark.createDataFrame([*rows, (99, None, "A", 1.0)], ddl).repartition(files)
+    bars = build_bars(df, "5 minutes", sequence="event_id")
+    for series, got in (("A", bars), ("B", bars), (None, merge_series(bars, "ALL"))):
+        for r in got.where(F.col("series") == (series or "ALL")).collect():
+            mine = sorted((t, i, v) for i, t, s, v in rows if series in (None, s) and timedelta(0) <= t - r["bar_ts"] < timedelta(minutes=5))
+            assert (r["open"], r["close"], r["volume"]) == (mine[0][2], mine[-1][2], len(mine))
+    times = spark.createDataFrame([(datetime(2024, 1, 1, 9, m),) for m in range(0, 15)], "bar_ts timestamp_ntz")
+    right = df.where(F.col("ts").isNotNull()).select(F.col("ts").alias("bar_ts"), "event_id", "value")
+    for span in (60, 240):
+        out = asof_backward(
+            materialize(times, "l"), materialize(right, "r"), columns=["value"], span_seconds=span, sequence="event_id"
+        )
+        for r in out.collect():
+            earlier = [(t, i, v) for i, t, _, v in rows if t <= r["bar_ts"]]
+            assert r["value"] == (max(earlier)[2] if earlier else None)
+
+
+def test_sequenced_bars_are_hash_aggregates(spark):
+    df = spark.createDataFrame([], "event_id long, ts timestamp_ntz, event_type string, value double")
+    text = build_bars(df, "1 hour", sequence="event_id")._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in text and "SortAggregate" not in text and "ObjectHash" not in text
