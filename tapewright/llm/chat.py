@@ -26,7 +26,8 @@ CONTROL = (
     TURN, END, "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|im_start|>", "<|im_end|>",
     "<|endoftext|>", "<|startoftext|>", "<|user|>", "<|assistant|>", "<|system|>",
 )
-ROLES = {"human": "user", "gpt": "assistant"}
+#: What layouts with ``from`` and ``value`` call the roles.
+ROLES = (("human", "user"), ("gpt", "assistant"))
 PART_CHARS = 1 << 20
 
 
@@ -63,6 +64,7 @@ class Layout:
     turns: tuple[tuple[str, tuple[str, ...]], ...] = ()
     join: tuple[tuple[str, ...], ...] = ()  # fields added to the first turn's text, if not empty
     optional: tuple[tuple[str, ...], ...] = field(default=())
+    roles: tuple[tuple[str, str], ...] = ()  # its names of roles, with the canonical ones
 
     def fingerprints(self) -> list[str]:
         must, may = set(), []
@@ -77,19 +79,19 @@ class Layout:
             at = "." + ".".join(self.each)
             must |= {"." + ".".join(self.each[: i + 1]) for i in range(len(self.each))}
             must |= {f"{at}[]"}
+            bare = set(must)  # a record without turns has an empty list
             for inner in (self.role, self.text):
                 must |= {f"{at}[]." + ".".join(inner[: i + 1]) for i in range(len(inner))}
-        every = [must]
+        every = [must, bare] if self.each else [must]
         for extra in may:
             every += [x | extra for x in every]
         return [fingerprint(x) for x in every]
 
     def read(self, record: dict) -> list[tuple[str, str]]:
         if self.each:
-            return [
-                (role_name(get(x, self.role)), str_of(get(x, self.text)))
-                for x in get(record, self.each) or []
-            ]
+            names = dict(self.roles)
+            turns = [(str_of(get(x, self.role)), str_of(get(x, self.text))) for x in get(record, self.each) or []]
+            return [(names.get(role, role), text) for role, text in turns]
         out = [(r, str_of(get(record, p))) for r, p in self.turns if has(record, p)]
         for path in self.join:
             if out and (more := get(record, path)):
@@ -111,13 +113,14 @@ def str_of(value: Any) -> str:
     return "" if value is None else value if isinstance(value, str) else json.dumps(value)
 
 
-def role_name(value: Any) -> str:
-    return ROLES.get(str_of(value), str_of(value))
+def whole_number(value: Any) -> bool:
+    """Can the value be an id or a position? Missing ones can."""
+    return value is None or (isinstance(value, int) and not isinstance(value, bool) and -(1 << 63) <= value < 1 << 63)
 
 
 LAYOUTS = (
     Layout(id=("conv_id",), position=("turn",), each=("messages",), role=("role",), text=("content",)),
-    Layout(id=("id",), position=("index",), each=("conversations",), role=("from",), text=("value",)),
+    Layout(id=("id",), position=("index",), each=("conversations",), role=("from",), text=("value",), roles=ROLES),
     Layout(
         id=("meta", "conversation"),
         position=("meta", "turn"),
@@ -145,9 +148,11 @@ def canonical_turns(records: DataFrame, layouts: Sequence[Layout] = LAYOUTS) ->
     """Turns of the JSON records in column ``record``, in one form whatever their layout.
 
     ``conv_id, turn`` (position of the record), ``part`` (place in it), ``role, text, layout``
-    (fingerprint). A missing text or role is empty. A record whose fingerprint has no mapping, or
-    that is no JSON object, gives one row with a null role and the record as its text: nothing
-    is dropped, and such rows are easily counted.
+    (fingerprint). A missing text or role is empty; a role keeps its name unless its layout has
+    another for it. A record whose fingerprint has no mapping, whose id or position is no whole
+    number, or that is no JSON object, gives one row with a null role and the record as its
+    text: nothing is dropped, and such rows are easily counted. A record with an empty list of
+    turns has no rows.
     """
     known = by_fingerprint(layouts)
 
@@ -167,10 +172,12 @@ def canonical_turns(records: DataFrame, layouts: Sequence[Layout] = LAYOUTS) ->
                 if key not in names:
                     names[key] = fingerprint(key)
                 layout = known.get(names[key])
-                if layout is None:
+                place = ()
+                if layout is not None:
+                    place = get(record, layout.id), get(record, layout.position) if layout.position else 0
+                if layout is None or not all(map(whole_number, place)):
                     rows.append((None, None, 0, None, raw, names[key]))
                     continue
-                place = get(record, layout.id), get(record, layout.position) if layout.position else 0
                 rows += [
                     (*place, k, role, text, names[key])
                     for k, (role, text) in enumerate(layout.read(record))
@@ -337,7 +344,7 @@ def as_records(rows: DataFrame) -> DataFrame:
 
     A record holds one turn, so none grows with its conversation."""
     text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
-    foreign = {v: k for k, v in ROLES.items()}
+    foreign = {ours: theirs for theirs, ours in ROLES}
     other = F.when(role == "user", foreign["user"]).when(role == "assistant", foreign["assistant"])
     place = [F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint")]
     keep = {"ignoreNullFields": "false"}
@@ -365,7 +372,7 @@ def as_records(rows: DataFrame) -> DataFrame:
         (3, "user"): record(*flat, text.alias("instruction")),
         (3, "assistant"): record(*flat, text.alias("output")),
     }
-    out = F.when((draw == 1) & ~role.isin(*ROLES), two)
+    out = F.when((draw == 1) & ~role.isin(*dict(ROLES)), two)
     for (k, name), made in named.items():
         out = out.when((draw == k) & (role == name), made)
-    return rows.select(F.when(role.isin(*ROLES), one).otherwise(out.otherwise(one)).alias("record"))
+    return rows.select(F.when(role.isin(*dict(ROLES)), one).otherwise(out.otherwise(one)).alias("record"))
