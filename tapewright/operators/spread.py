@@ -3,20 +3,21 @@ the mean of those at or below the q quantile, quantiles exact and linearly inter
 
 Two forms with equal results. ``tail_spread`` holds a group's values in one array and is for
 groups with a known bound (a declared universe of symbols). ``tail_spread_by_rank`` works for
-groups of any size, including one that holds most of the table.
+groups of any size, including one that holds most of the table: it narrows the ranges of values
+that hold the wanted ranks, level by level, until each fits a task. A group without a value has
+a row with a missing spread in both.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import join_on, key_of
 from ..session import materialize
 
-GROUP_ROWS = 20_000   # values of one group that may sit in one array
-PIECES = 256          # pieces a hot group is split into
+GROUP_ROWS = 20_000   # values of one group that may sit in one array, or be ranked by one task
+PIECES = 64           # pieces a range of more values is cut into, per level
 
 
 def _edges(ordered: Column, q: float) -> tuple[Column, Column, Column]:
@@ -70,61 +71,41 @@ def tail_spread_by_rank(
 ) -> DataFrame:
     """One row per group with the spread of ``value``, for groups without a size bound.
 
-    Equal values are counted first, and the counts are stored: ``rows`` is read once. The
-    distinct values are cut into ranges, so a hot group is ranked by up to ``pieces`` tasks:
-    counts per range give each range its first rank, ranks inside a range come from a window
-    over (group, range). The cut points are approximate quantiles of the distinct values; they
-    only balance the ranges, the ranks are exact whatever they are.
+    Equal values are counted first, and the counts are stored: ``rows`` is read once. Each group
+    starts as one range of values. Ranges of more than ``group_rows`` distinct values are cut at
+    approximate quantiles of their own values, the pieces are counted exactly, and only those
+    that hold a wanted rank go on; each level divides by ``pieces``. What is left is ranked, a
+    range a task. Cut points only steer: ranks come from counts and are exact.
     """
     counted = materialize(
-        rows.where(F.col(value).isNotNull())
-        .groupBy(*group, F.col(value).alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n")),
-        "counted",
+        rows.groupBy(*group, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n")), "counted"
     )
-    # Groups that are all small need no cutting; the size is checked, not assumed.
-    sizes = counted.groupBy(*group).agg(F.count(F.lit(1)).alias("_rows"))
-    largest = sizes.agg(F.max("_rows")).first()[0] or 0
-    cuts = _cut_points(counted, pieces) if largest > group_rows else []
-    if cuts:
-        edges = [-float("inf"), *cuts, float("inf")]
-        counted = Bucketizer(
-            splits=edges, inputCol="_v", outputCol="_piece", handleInvalid="keep"
-        ).transform(counted)
-    else:
-        counted = counted.withColumn("_piece", F.lit(0.0))
-
-    # Window and joins below share this key, so the counted values are laid out by it once.
-    counted = counted.withColumn("_key", key_of(*group, "_piece"))
-    sizes = counted.groupBy(*group, "_piece").agg(F.sum("_n").alias("_rows"))
-    line = Window.partitionBy(*group)
-    starts = sizes.select(
-        *group,
-        "_piece",
-        F.coalesce(
-            F.sum("_rows").over(
-                line.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-            ),
-            F.lit(0),
-        ).alias("_start"),
-        F.sum("_rows").over(line).alias("_size"),
-    ).withColumn("_key", key_of(*group, "_piece"))
-    inside = Window.partitionBy("_key").orderBy("_v")
-    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.join(starts.drop(*group, "_piece"), "_key").withColumn(
-        "_next", F.col("_start") + F.sum("_n").over(upto)
+    present = F.col("_v").isNotNull()
+    ranges = counted.groupBy(*group).agg(
+        F.min("_v").alias("_lo"),
+        F.max("_v").alias("_hi"),
+        F.lit(0).cast("bigint").alias("_below"),
+        F.count("_v").alias("_distinct"),
+        F.coalesce(F.sum(F.when(present, F.col("_n"))), F.lit(0)).alias("_size"),
     )
-
-    def pick(rank: Column) -> Column:
-        covers = (F.col("_next") - F.col("_n") <= rank) & (rank < F.col("_next"))
-        return F.max(F.when(covers, F.col("_v")))
+    ranges = materialize(ranges.where("_size > 0"), "ranges")
+    largest, before = _largest(ranges), None
+    while largest > group_rows and (before is None or largest < before):
+        large = F.col("_distinct") > group_rows
+        narrowed = _narrow(counted, ranges.where(large), group, q, max(pieces, 2))
+        ranges = materialize(ranges.where(~large).unionByName(narrowed), "ranges")
+        largest, before = _largest(ranges), largest
+
+    inside = Window.partitionBy(key_of(*group, "_below")).orderBy("_v")
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    ranked = _within(counted, ranges, group).withColumn("_next", F.col("_below") + F.sum("_n").over(upto))
 
     def level(p: float, name: str) -> tuple[list[Column], Column]:
-        at = (F.col("_size") - 1) * F.lit(p)
-        low = F.floor(at)
+        at, low, high = _ranks(p)
+        covers = lambda r: (F.col("_next") - F.col("_n") <= r) & (r < F.col("_next"))
         picked = [
-            pick(low).alias(f"_{name}a"),
-            pick(F.least(low + 1, F.col("_size") - 1)).alias(f"_{name}b"),
+            F.max(F.when(covers(low), F.col("_v"))).alias(f"_{name}a"),
+            F.max(F.when(covers(high), F.col("_v"))).alias(f"_{name}b"),
             F.max(at - low).alias(f"_{name}f"),
         ]
         a, b, f = (F.col(f"_{name}{x}") for x in "abf")
@@ -136,22 +117,63 @@ def tail_spread_by_rank(
         *group, high.alias("_high"), low.alias("_low")
     )
     v, n = F.col("_v"), F.col("_n")
-    # Levels travel with the pieces, so that this join too is spread over the pieces.
-    bounds = join_on(starts.select(*group, F.col("_key").alias("_key2")), levels, group).select("_key2", "_high", "_low")
-    tails = counted.join(bounds.withColumnRenamed("_key2", "_key"), "_key").where(
-        (v >= F.col("_high")) | (v <= F.col("_low"))
-    )
 
     def weighted(condition: Column) -> Column:
         return F.try_divide(F.sum(F.when(condition, v * n)), F.sum(F.when(condition, n)))
 
-    return tails.groupBy(*group).agg(
+    # Stored, so that the join with the counted values knows the size of one row per group.
+    levels = materialize(levels, "levels")
+    return join_on(counted, levels, group, "left").groupBy(*group).agg(
         (weighted(v >= F.col("_high")) - weighted(v <= F.col("_low"))).alias(out)
     )
 
 
-def _cut_points(counted: DataFrame, pieces: int) -> list[float]:
-    """At most ``pieces`` - 1 numbers; the sketch merges on the map side."""
+def _largest(ranges: DataFrame) -> int:
+    return ranges.agg(F.max("_distinct")).first()[0] or 0
+
+
+def _ranks(p: float) -> tuple[Column, Column, Column]:
+    """Place of the ``p`` quantile among ``_size`` values from 0, and the ranks beside it."""
+    at = (F.col("_size") - 1) * F.lit(p)
+    low = F.floor(at)
+    return at, low, F.least(low + 1, F.col("_size") - 1)
+
+
+def _within(counted: DataFrame, ranges: DataFrame, group: list[str]) -> DataFrame:
+    """Counted values with each range (of their group) that they lie in."""
+    return join_on(counted, ranges, group).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+
+
+def _narrow(counted: DataFrame, ranges: DataFrame, group: list[str], q: float, pieces: int) -> DataFrame:
+    """The pieces of ``ranges`` that hold a wanted rank, with their own bounds and counts."""
     steps = [i / pieces for i in range(1, pieces)]
-    found = counted.agg(F.percentile_approx("_v", steps, 10 * pieces).alias("c")).first()["c"]
-    return sorted(set(found or []))
+    named = [*group, "_below", "_lo", "_hi", "_size"]
+    cuts = (
+        _within(counted, ranges, group)
+        .groupBy(*named)
+        .agg(F.percentile_approx("_v", steps, 10 * pieces).alias("_cuts"))
+    )
+    # Stored: small, of known size for the join, and the same at each reading.
+    cuts = materialize(cuts, "cuts")
+    piece = F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
+    counts = (
+        _within(counted, cuts, group)
+        .groupBy(*group, "_below", "_size", piece.alias("_piece"))
+        .agg(
+            F.min("_v").alias("_lo"),
+            F.max("_v").alias("_hi"),
+            F.count(F.lit(1)).alias("_distinct"),
+            F.sum("_n").alias("_rows"),
+        )
+    )
+    earlier = Window.partitionBy(key_of(*group, "_below")).orderBy("_piece")
+    first = F.col("_below") + F.coalesce(
+        F.sum("_rows").over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+    )
+    wanted = F.array(*[r for p in (q, 1 - q) for r in _ranks(p)[1:]])
+    holds = F.exists(wanted, lambda r: (r >= F.col("_first")) & (r < F.col("_first") + F.col("_rows")))
+    return (
+        counts.withColumn("_first", first)
+        .where(holds)
+        .select(*group, "_lo", "_hi", F.col("_first").alias("_below"), "_distinct", "_size")
+    )

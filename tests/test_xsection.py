@@ -45,7 +45,7 @@ def groups():
     return pd.DataFrame(rows, columns=["g", "v"])
 
 
-@pytest.mark.parametrize("pieces", [1, 4, 256])
+@pytest.mark.parametrize("pieces", [8, 256])
 def test_tail_spread_forms(spark, groups, pieces):
     df = to_spark(spark, groups, "g string, v double").repartition(5)
     want = groups.groupby("g")["v"].apply(spread)
@@ -54,7 +54,7 @@ def test_tail_spread_forms(spark, groups, pieces):
     got = bounded.toPandas().set_index("g")["s"]
     same(got[want.index], want)
     got = ranked.toPandas().set_index("g")["s"]
-    assert set(got.index) == set(want.dropna().index)
+    assert set(got.index) == set(want.index)
     same(got[got.index], want[got.index])
 
 
@@ -150,3 +150,39 @@ def test_spread_of_a_missing_group(spark):
         got = {r.g: r.s for r in tail_spread_by_rank(df, ["g"], "v", "s", pieces=4, group_rows=group_rows).collect()}
         assert got.keys() == want.keys() == {None, "g"}
         assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_spread_narrows_ranges_of_one_hot_group(spark, monkeypatch):
+    """A skewed group of 30,000 distinct values and ties, ranked 50 values at a time at most."""
+    from tapewright.operators import spread as module
+
+    rng = np.random.default_rng(11)
+    hot = np.exp(rng.normal(0, 6, 30_000))
+    ties = np.repeat(hot[:40], 25)
+    small = rng.normal(0, 1, 30)
+    frame = pd.DataFrame(
+        {"g": ["hot"] * (len(hot) + len(ties)) + ["small"] * 30 + ["none"] * 3,
+         "v": [*hot, *ties, *small, *[None] * 3]}
+    )
+    df = spark.createDataFrame(frame, "g string, v double").withColumn("v", F.nanvl("v", F.lit(None)))
+    levels, ranked = [], []
+    narrow, within = module._narrow, module._within
+
+    def narrow_seen(counted, ranges, *rest):
+        levels.append(ranges.count())
+        return narrow(counted, ranges, *rest)
+
+    def within_seen(counted, ranges, group):
+        found = within(counted, ranges, group)
+        if "_distinct" in ranges.columns:
+            ranked.append(found.groupBy(*group, "_below").count().agg(F.max("count")).first()[0])
+        return found
+
+    monkeypatch.setattr(module, "_narrow", narrow_seen)
+    monkeypatch.setattr(module, "_within", within_seen)
+    got = {r.g: r.s for r in tail_spread_by_rank(df, ["g"], "v", "s", pieces=16, group_rows=50).collect()}
+    want = frame.dropna().groupby("g")["v"].apply(spread)
+    assert got.keys() == {"hot", "small", "none"} and got["none"] is None
+    for g, w in want.items():
+        assert abs(got[g] - w) < 1e-9 * abs(w)
+    assert 2 <= len(levels) <= 5 and max(levels) <= 4 and ranked[-1] <= 50
