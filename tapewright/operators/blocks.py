@@ -26,13 +26,15 @@ BLOCK_ROWS = 4096    # bars per block beyond that
 class Ordered:
     """Bars with ``seq``, their 0-based position in the series.
 
-    ``split`` says whether a series may span several blocks.
+    ``split`` says whether a series may span several blocks, ``rows`` how many bars there are in
+    all, which bounds the length of a series.
     """
 
     df: DataFrame
     keys: tuple[str, ...]
     split: bool
     block_rows: int
+    rows: int
 
     def with_df(self, df: DataFrame) -> Ordered:
         return replace(self, df=df)
@@ -69,10 +71,11 @@ def ordered(
     bar width, so that a block of time holds at most ``block_rows`` rows. Totals skip missing
     values but are missing where their own value is.
     """
-    split = bars.count() > task_rows
+    rows = bars.count()
+    split = rows > task_rows
     number = _number_split if split else _number_whole
     df = number(bars, tuple(keys), order, totals or {}, bar_seconds * block_rows)
-    return Ordered(df, tuple(keys), split, block_rows)
+    return Ordered(df, tuple(keys), split, block_rows, rows)
 
 
 def _number_whole(

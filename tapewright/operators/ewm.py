@@ -5,11 +5,14 @@ Spark has no recurrence operator, so the recurrence is written as prefix sums.
 * Rows are cut into runs of ``RUN`` rows. Inside a run a decayed sum is
   ``exp(-S_t) * sum(b_j * exp(S_j))`` with S the decay (in nats) since the start of the run;
   RUN keeps exp(S) far below overflow for spans above 1.5.
-* Each run ends in one summary row. Across runs the state obeys ``C = C_prev*exp(-nats) + add``,
-  solved in the same way on that table, which is RUN times smaller.
+* Each run ends in one summary row. Across runs the state obeys ``C = C_prev*exp(-nats) + add``.
+  Two such steps make one of the same form, so blocks of ``FAN`` summaries are folded into one, level
+  by level, until a series has one block; on the way back the state at the start of a block enters
+  its window as a row before the first.
 * The state at the start of its run is joined back to every row.
 
-No task sees more than a run of bars, plus the run summaries of one series and one column.
+No task has to see more than a run of bars or a block of summaries. How many levels there are follows
+from the number of bars.
 
 ``adjust=True``: weighted sum over sum of weights, weights d**age, d = 1 - 2/(span+1).
 ``adjust=False``: y = d*y + (1-d)*x from y = first x. After k-1 missing rows the old weight
@@ -26,9 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import key_of
+from ..session import materialize
 from .blocks import Ordered
 
 RUN = 256
+FAN = 256            # run or block summaries folded into one
 BUCKET_NATS = 200.0
 TINY = 1e-280
 POSITION = f"CAST(seq % {RUN} AS DOUBLE)"
@@ -77,7 +82,7 @@ def ewm_means(o: Ordered, means: list[Ewm]) -> Ordered:
     keys = ", ".join(f"`{k}`" for k in o.keys)
     sources = list(dict.fromkeys(m.source for m in means))
     inside = _inside_runs(o.df, o.keys, means, sources)
-    states = _run_states(inside, keys, means, sources)
+    states = _run_states(inside, keys, means, sources, _levels(o.rows))
     # Runs were laid out by this key for the window, so the join moves the states only.
     states = states.withColumn("_key", key_of(*o.keys, "_run")).drop(*o.keys, "_run")
     joined = inside.join(states, "_key")
@@ -85,6 +90,14 @@ def ewm_means(o: Ordered, means: list[Ewm]) -> Ordered:
     return o.with_df(joined.selectExpr(*[f"`{c}`" for c in o.df.columns], *out))
 
 
+def _levels(rows: int) -> int:
+    """Levels above the run summaries, until all runs of the longest possible series are one block."""
+    levels, blocks = 0, -(-rows // RUN)
+    while blocks > FAN:
+        levels, blocks = levels + 1, -(-blocks // FAN)
+    return levels
+
+
 def _inside_runs(df: DataFrame, keys: tuple[str, ...], means: list[Ewm], sources: list[str]) -> DataFrame:
     """Sums since the start of the run, in three levels over one window."""
     line = "PARTITION BY _key ORDER BY seq"
@@ -124,36 +137,73 @@ def _inside_runs(df: DataFrame, keys: tuple[str, ...], means: list[Ewm], sources
     return runs
 
 
-def _run_states(inside: DataFrame, keys: str, means: list[Ewm], sources: list[str]) -> DataFrame:
+def _run_states(
+    inside: DataFrame, keys: str, means: list[Ewm], sources: list[str], levels: int
+) -> DataFrame:
     """State of every mean at the start of each run, one row per run."""
-    line = f"OVER (PARTITION BY {keys} ORDER BY _run ROWS BETWEEN UNBOUNDED PRECEDING AND"
-    befores = [f"_before{j}" for j in range(len(sources))]
-    ends = inside.where("_end").selectExpr(
-        "*",
-        *[f"last(_last{j}, true) {line} 1 PRECEDING) AS {b}" for j, b in enumerate(befores)],
-    )
+    by = keys.split(", ")
+    lasts, befores = ([f"_{x}{j}" for j in range(len(sources))] for x in ("last", "before"))
+    sums = [p for i, m in enumerate(means) for p in ((f"_num{i}", f"_den{i}") if m.adjust else (f"_nats{i}", f"_sum{i}"))]
+    firsts = [f"_{x}{j}" for j in range(len(sources)) for x in ("first", "head")]
+    ends = inside.where("_end").select(*by, "_run", "seq", *lasts, *firsts, *sums)
+    if levels:
+        # Each level reads the summaries twice, so they are stored; they are RUN times fewer than bars.
+        ends = materialize(ends, "runs")
+    seen = _running_max(ends, by, dict(zip(lasts, befores, strict=True)), levels, "1 PRECEDING")
     parts = [part for i, m in enumerate(means) for part in _recurrences(i, m, sources)]
     structs = ", ".join(
         f"named_struct('part', '{name}', 'nats', {nats}, 'add', {add})"
         for name, nats, add in parts
     )
-    tall = ends.selectExpr(*keys.split(", "), "_run", *befores, f"inline(array({structs}))")
+    tall = seen.selectExpr(*by, "_run", *befores, f"inline(array({structs}))")
+    if levels:
+        tall = materialize(tall, "steps")
     states = (
-        _solve(tall, keys)
-        .groupBy(*[F.expr(k) for k in keys.split(", ")], "_run")
+        _solve(tall, keys, levels)
+        .groupBy(*[F.expr(k) for k in by], "_run")
         .agg(
             *[F.expr(f"first({b}) AS {b}") for b in befores],
             *[F.expr(f"max(state) FILTER (WHERE part = '{p}') AS _state_{p}") for p, _, _ in parts],
         )
     )
     # Weighted sums fade to nothing over very long gaps, but their ratio does not change there.
-    ratio = "CASE WHEN _state_den{i} > {t!r}D THEN _state_num{i} / _state_den{i} END"
-    kept = [
-        f"last({ratio.format(i=i, t=TINY)}, true) {line} CURRENT ROW) AS _kept{i}"
-        for i, m in enumerate(means)
-        if m.adjust
-    ]
-    return states.selectExpr("*", *kept)
+    ratio = (
+        "CASE WHEN _state_den{i} > {t!r}D"
+        " THEN named_struct('run', _run, 'ratio', _state_num{i} / _state_den{i}) END AS _ratio{i}"
+    )
+    adjusted = [i for i, m in enumerate(means) if m.adjust]
+    if not adjusted:
+        return states
+    rated = states.selectExpr("*", *[ratio.format(i=i, t=TINY) for i in adjusted])
+    if levels:
+        rated = materialize(rated, "states")
+    kept = _running_max(rated, by, {f"_ratio{i}": f"_kept{i}" for i in adjusted}, levels, "CURRENT ROW")
+    return kept.withColumns({f"_kept{i}": F.col(f"_kept{i}.ratio") for i in adjusted}).drop(
+        *[f"_ratio{i}" for i in adjusted]
+    )
+
+
+def _running_max(
+    runs: DataFrame, by: list[str], names: dict[str, str], levels: int, last: str
+) -> DataFrame:
+    """Largest value of each column so far (``last`` ends the frame), by blocks as in ``_solve``."""
+    blocked = runs.withColumn("_block", F.floor(F.col("_run") / FAN))
+    if levels:
+        tops = blocked.groupBy(*[F.expr(k) for k in by], F.col("_block").alias("_run")).agg(
+            *[F.max(n).alias(n) for n in names]
+        )
+        before = {n: f"{n}_so_far" for n in names}
+        tops = _running_max(tops, by, before, levels - 1, "1 PRECEDING")
+        starts = tops.selectExpr(
+            *by, "_run AS _block", "-1L AS _run", *[f"{b} AS {n}" for n, b in before.items()]
+        )
+        blocked = blocked.unionByName(starts, allowMissingColumns=True)
+    line = f"OVER (PARTITION BY {', '.join(by)}, _block ORDER BY _run ROWS BETWEEN UNBOUNDED PRECEDING AND {last})"
+    return (
+        blocked.selectExpr("*", *[f"max({n}) {line} AS {out}" for n, out in names.items()])
+        .where("_run >= 0")
+        .drop("_block")
+    )
 
 
 def _recurrences(i: int, m: Ewm, sources: list[str]) -> list[tuple[str, str, str]]:
@@ -171,22 +221,37 @@ def _recurrences(i: int, m: Ewm, sources: list[str]) -> list[tuple[str, str, str
     return [(f"sum{i}", f"if({empty}, 0D, {nats})", f"if({empty}, 0D, {add})")]
 
 
-def _solve(tall: DataFrame, keys: str) -> DataFrame:
+def _solve(tall: DataFrame, keys: str, levels: int) -> DataFrame:
     """``state`` before each run for C = C_prev*exp(-nats) + add.
 
-    Runs are bucketed by total decay; inside a bucket the weights stay within exp(200), and
+    Runs of a block are bucketed by total decay; inside a bucket the weights stay within exp(200), and
     what lies two buckets back has decayed below any double, so one carried value is exact.
     """
-    line = f"PARTITION BY {keys}, part ORDER BY _run"
+    blocked = tall.withColumn("_block", F.floor(F.col("_run") / FAN))
+    if levels:
+        step = "named_struct('nats', done.nats + x.nats, 'add', done.add * exp(-x.nats) + x.add)"
+        # At most FAN summaries meet in one array.
+        folded = blocked.groupBy(*[F.expr(k) for k in keys.split(", ")], "part", "_block").agg(
+            F.expr(
+                "aggregate(array_sort(collect_list(struct(_run, nats, add))),"
+                f" named_struct('nats', 0D, 'add', 0D), (done, x) -> {step}) AS _fold"
+            )
+        )
+        above = folded.selectExpr(*keys.split(", "), "part", "_block AS _run", "_fold.nats", "_fold.add")
+        starts = _solve(above, keys, levels - 1).selectExpr(
+            *keys.split(", "), "part", "_run AS _block", "-1L AS _run", "0D AS nats", "state AS add"
+        )
+        blocked = blocked.unionByName(starts, allowMissingColumns=True)
+    line = f"PARTITION BY {keys}, part, _block ORDER BY _run"
     upto = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
     before = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
     inner = f"(_total - _bucket * {BUCKET_NATS!r}D)"
     return (
-        tall.selectExpr("*", f"sum(nats) OVER ({line} {upto}) AS _total")
+        blocked.selectExpr("*", f"sum(nats) OVER ({line} {upto}) AS _total")
         .selectExpr("*", f"floor(_total / {BUCKET_NATS!r}D) AS _bucket")
         .selectExpr(
             "*",
-            f"sum(add * exp({inner})) OVER (PARTITION BY {keys}, part, _bucket ORDER BY _run"
+            f"sum(add * exp({inner})) OVER (PARTITION BY {keys}, part, _block, _bucket ORDER BY _run"
             f" {upto}) * exp(-{inner}) AS _local",
             f"lead(_bucket) OVER ({line}) <> _bucket AS _closes",
         )
@@ -200,6 +265,8 @@ def _solve(tall: DataFrame, keys: str) -> DataFrame:
             "_local + coalesce(_carry.local * exp(_carry.total - _total), 0D) AS _state",
         )
         .selectExpr("*", f"coalesce(lag(_state) OVER ({line}), 0D) AS state")
+        .where("_run >= 0")
+        .drop("_block", "_total", "_bucket", "_local", "_closes", "_carry", "_state")
     )
 
 

@@ -118,6 +118,33 @@ def test_ewm_long_gap(spark):
     same(got["f"], frame["x"].ewm(span=3, adjust=False).mean())
 
 
+@pytest.mark.parametrize("fan", [2, 4])
+def test_ewm_by_levels(spark, monkeypatch, fan):
+    """Run summaries folded in several levels; a long gap and a missing series included."""
+    from tapewright.operators import ewm
+
+    frames = [walk(2600, k, s) for k, s in enumerate(["A", "B", None])]
+    frames[0].loc[300:2500, "close"] = np.nan
+    frames[1].loc[::3, "close"] = np.nan
+    frames[2].loc[:700, "close"] = np.nan
+    means = [Ewm(f"{k}{n}", "close", n, k == "t") for k in "tf" for n in (3, 30)]
+    bars = to_spark(spark, pd.concat(frames))
+    whole = ewm_means(ordered(bars, bar_seconds=300), means).df
+    monkeypatch.setattr(ewm, "FAN", fan)
+    o = ordered(bars, bar_seconds=300)
+    assert ewm._levels(o.rows) >= 2 and ewm._levels(10**12) >= 4
+    got = ewm_means(o, means).df
+    names = ["series", "seq", *[m.out for m in means]]
+    got, whole = (df.select(*names).toPandas().sort_values(["series", "seq"]) for df in (got, whole))
+    want = pd.concat(frames).reset_index(drop=True)
+    for m in means:
+        same(got[m.out].reset_index(drop=True), whole[m.out].reset_index(drop=True))
+        expected = want.groupby("series", dropna=False, sort=False)["close"].transform(
+            lambda s, m=m: s.ewm(span=m.span, adjust=m.adjust).mean()
+        )
+        same(got[m.out].reset_index(drop=True), expected)
+
+
 def test_known_ewm_over_one_gap(spark):
     frame = walk(4, 6)
     frame["x"] = [1.0, np.nan, 3.0, 4.0]
