@@ -226,6 +226,8 @@ def central_directory(source: pa.NativeFile) -> list[Member]:
     tail_at = max(0, size - 65_557)  # the end record and the longest comment
     tail = read_range(source, tail_at, size - tail_at)
     end = tail.rfind(_END)
+    while end >= 0 and not _is_end(tail, end, tail_at + end):
+        end = tail.rfind(_END, 0, end)
     if end < 0:
         raise ValueError("no ZIP end record")
     count, length, offset = struct.unpack_from("<HII", tail, end + 10)
@@ -252,6 +254,18 @@ def central_directory(source: pa.NativeFile) -> list[Member]:
     return members
 
 
+def _is_end(tail: bytes, end: int, at: int) -> bool:
+    """Is this signature (``at`` in the file) the end record, and not part of its comment? The
+    comment ends with the file, and the directory ends where the record starts (ZIP64 says so
+    elsewhere)."""
+    if len(tail) < end + 22:
+        return False
+    length, offset, comment = struct.unpack_from("<IIH", tail, end + 12)
+    return end + 22 + comment == len(tail) and (0xFFFFFFFF in (length, offset) or offset + length <= at and (
+        offset + length == at or tail[end - 20 : end - 16] == _LOCATOR
+    ))
+
+
 def _zip64(extra: bytes, plain: int, packed: int, header: int) -> tuple[int, int]:
     """Packed size and header offset; the ZIP64 field has those that did not fit, in order."""
     at = 0
@@ -316,7 +330,7 @@ RECORD = (
 
 def read_records(ranges: DataFrame, *, with_payload: bool = True, read_bytes: int = READ_BYTES) -> DataFrame:
     """The records at ``ranges``. Neighbours within ``read_bytes`` are read in one go, by one task,
-    so a large package is read by many tasks."""
+    so a large package is read by many tasks: as many as the bytes of all ranges ask for."""
     names = [x.split()[0] for x in RECORD.split(", ")]
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,9 +362,13 @@ def read_records(ranges: DataFrame, *, with_payload: bool = True, read_bytes: in
         if opened:
             opened[1].close()
 
+    # A range is a narrow row, so the number of tasks is given by the bytes behind the rows; left
+    # open, it would follow the size of the rows.
+    ranges = materialize(ranges, "ranges")
+    total = ranges.agg(F.sum("length")).first()[0] or 0
     near = F.floor(F.col("offset") / read_bytes)
     return (
-        ranges.repartition("path", near)
+        ranges.repartition(-(-total // read_bytes) or 1, "path", near)
         .sortWithinPartitions("path", "offset")
         .select("path", "offset", "length")
         .mapInArrow(read, RECORD)
