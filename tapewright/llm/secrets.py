@@ -33,6 +33,7 @@ WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 KINDS = ("assign", "access", "hex", "live", "example", "weak")
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 6, 20, 24
 EXAMPLE_OWNERS = 3      # owners from which on a value counts as copied
+EXAMPLE_REPOSITORIES = 50   # repositories from which on it does, whoever owns them
 RANDOM_BITS = 2.5       # bits per character from which on a value looks random
 HEAVY_PARTS = 1000      # a value is heavy if it has more than 1/1000 of all candidates
 
@@ -127,14 +128,16 @@ def find_secrets(
     repository: Column | str = "doc_id",
     owner: Column | str = "source",
     example_owners: int = EXAMPLE_OWNERS,
+    example_repositories: int = EXAMPLE_REPOSITORIES,
 ) -> DataFrame:
     """One row per document: ``doc_id`` and ``spans`` (kind, start, end, repositories, owners).
 
     Spans are in code points, end exclusive, ordered by start, then kind as in ``KINDS``. Kinds
     ``assign``, ``access`` and ``hex`` are the matches. Each of them brings a span over its value
     (for ``assign`` what is assigned) with the verdict of the corpus: ``example`` if
-    ``example_owners`` owners or more hold the value, else ``live`` if it looks random, else
-    ``weak``.
+    ``example_owners`` owners or more hold the value, or if it is in ``example_repositories``
+    repositories or more (boilerplate of one owner is no credential either), else ``live`` if it
+    looks random, else ``weak``.
 
     A null or empty text has no spans; null repositories or owners count as one. Repeated rows
     are documents of their own, but one repository. Other columns are not read. An empty table
@@ -168,7 +171,10 @@ def find_secrets(
     light = marked.where("_heavy is null").drop("repositories", "owners")
     judged = marked.where("_heavy").unionByName(light.join(owned, "value"))
     verdict = (
-        F.when(F.col("owners") >= example_owners, KINDS.index("example"))
+        F.when(
+            (F.col("owners") >= example_owners) | (F.col("repositories") >= example_repositories),
+            KINDS.index("example"),
+        )
         .when(F.col("random"), KINDS.index("live"))
         .otherwise(KINDS.index("weak"))
     )
