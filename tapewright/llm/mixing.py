@@ -176,22 +176,35 @@ def _read_words(at: Column) -> Column:
     return F.greatest(F.lit(0).cast("bigint"), F.least(F.col("size"), F.col("_limit") - at))
 
 
-def _epochs() -> Column:
-    """Numbers of the epochs in which the source's demand reaches the document."""
+def _readings() -> Column:
+    """The readings of a document in the epochs that the source's demand reaches, in order: ``words`` of
+    it at training time ``position``, where the demand curve reaches the words before it."""
     last = F.ceil((F.col("_limit") - F.col("_at")) / F.greatest(F.col("source_size"), F.lit(1))) - 1
-    return F.when(
+    epochs = F.when(
         (F.col("size") > 0) & (last >= 0), F.sequence(F.lit(0).cast("bigint"), last)
     ).otherwise(F.expr("cast(array() as array<bigint>)"))
+    knots, steps = F.col("_curve"), F.size("_curve") - 1
+
+    def reading(epoch: Column) -> Column:
+        at = F.col("_at") + epoch * F.col("source_size")
+        k = F.least(steps, F.greatest(F.lit(1), F.size(F.filter(knots, lambda v: v <= at))))
+        low, high = F.element_at(knots, k), F.element_at(knots, k + 1)
+        part = F.when(high > low, (at - low) / (high - low)).otherwise(0.0)
+        return F.struct(_read_words(at).alias("words"), ((k - 1 + part) / steps).alias("position"))
+
+    return F.filter(F.transform(epochs, reading), lambda r: r["words"] > 0)
 
 
 def taken(placed: DataFrame) -> DataFrame:
-    """Each document with the words that the mix takes of it, its readings added up."""
-    words = F.aggregate(
-        _epochs(),
-        F.lit(0).cast("bigint"),
-        lambda sum_, e: sum_ + _read_words(F.col("_at") + e * F.col("source_size")),
+    """Each document with the words that the mix takes of it, its readings added up, and the
+    ``position`` of its first reading (null: never read), in the order of these positions."""
+    read = placed.withColumn("_readings", _readings())
+    words = F.aggregate("_readings", F.lit(0).cast("bigint"), lambda sum_, r: sum_ + r["words"])
+    first = F.get("_readings", F.lit(0))["position"]
+    rows = read.select(
+        "doc_id", "size", "source_size", "target", words.alias("taken"), first.alias("position")
     )
-    return placed.select("doc_id", "size", "source_size", "target", words.alias("taken"))
+    return rows.orderBy(F.asc_nulls_last("position"), "doc_id")
 
 
 def readings(placed: DataFrame) -> DataFrame:
@@ -199,19 +212,8 @@ def readings(placed: DataFrame) -> DataFrame:
 
     All readings are whole but the one that meets its source's target; it is cut there.
     """
-    read = placed.withColumn("_epoch", F.explode(_epochs())).withColumn(
-        "_at", F.col("_at") + F.col("_epoch") * F.col("source_size")
-    )
-    knots, at = F.col("_curve"), F.col("_at")
-    steps = F.size(knots) - 1
-    k = F.least(steps, F.greatest(F.lit(1), F.size(F.filter(knots, lambda v: v <= at))))
-    low, high = F.element_at(knots, k), F.element_at(knots, k + 1)
-    part = F.when(high > low, (at - low) / (high - low)).otherwise(0.0)
-    return (
-        read.withColumn("words", _read_words(at))
-        .where("words > 0")
-        .withColumn("position", (k - 1 + part) / steps)
-    )
+    read = placed.withColumn("_reading", F.explode(_readings()))
+    return read.select("*", "_reading.*").drop("_reading")
 
 
 def ordered_texts(placed: DataFrame, columns: Sequence[str]) -> DataFrame:

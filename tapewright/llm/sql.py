@@ -34,7 +34,8 @@ p AS (
               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS ahead
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
-       greatest(0, least(size, lim - ahead)) + greatest(0, least(size, lim - ahead - source_size)) AS taken
+       greatest(0, least(size, lim - ahead)) + greatest(0, least(size, lim - ahead - source_size)) AS taken,
+       CASE WHEN size > 0 AND ahead < lim THEN ahead / target END AS position
 FROM p
 """
 

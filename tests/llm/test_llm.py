@@ -139,6 +139,23 @@ def test_mixing_edges(odd, empty):
         by_source[r.source_size, r.target] += r.taken
     assert all(abs(n - target) <= 1 for (_, target), n in by_source.items())
     assert mixing.taken(mixing.place(empty)).count() == 0
+    assert all((r.taken > 0) == (r.position is not None and 0 <= r.position < 1) for r in rows)
+
+
+def test_taken_is_the_sum_of_the_readings(spark, documents):
+    """Also under schedules, where the demand curve is no straight line."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    first = sorted(set(documents.source.dropna()))[0]
+    placed = mixing.place(docs, schedules={first: ((0, 0.0), (1, 1.0))})
+    want, at = Counter(), {}
+    for r in mixing.readings(placed).collect():
+        want[r.doc_id] += r.words
+        at[r.doc_id] = min(r.position, at.get(r.doc_id, 2))
+    rows = mixing.taken(placed).collect()
+    assert {r.doc_id: r.taken for r in rows if r.taken} == want
+    assert {r.doc_id: r.position for r in rows if r.taken} == at
+    order = [r.position for r in rows if r.position is not None]
+    assert order == sorted(order) and len(rows) == len(documents)
 
 
 def test_curriculum_moves_a_rising_source_to_the_end(spark):
@@ -399,6 +416,53 @@ def test_secrets_equal_brute_force(spark, documents, odd, empty):
     assert secrets.find_secrets(empty).count() == 0
 
 
+def brute_verdicts(rows, owners_from, repositories_from):
+    """(start, kind, end) of all spans by repository; rows are (repository, owner, text)."""
+    assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    found, owners, repositories = defaultdict(list), defaultdict(set), defaultdict(set)
+    for repository, owner, text in rows:
+        text = text or ""
+        hits = [("assign", m.span(), m.span(2)) for m in assign.finditer(text) if len(m[2]) >= 6]
+        hits += [("access", m.span(), m.span()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+        hits += [("hex", m.span(), m.span()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+        for kind, span, (a, b) in hits:
+            found[repository].append((kind, span, a, b, text[a:b]))
+            owners[text[a:b]].add(owner or "")
+            repositories[text[a:b]].add(repository)
+    spans = {}
+    for repository, hits in found.items():
+        here = set()
+        for kind, (start, end), a, b, value in hits:
+            here.add((start, secrets.KINDS.index(kind), end))
+            shares = [value.count(c) / len(value) for c in set(value)]
+            copied = len(owners[value]) >= owners_from or len(repositories[value]) >= repositories_from
+            random = -sum(p * math.log2(p) for p in shares) >= secrets.RANDOM_BITS
+            here.add((a, secrets.KINDS.index("example" if copied else "live" if random else "weak"), b))
+        spans[repository] = ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in sorted(here))
+    return spans
+
+
+def test_verdict_spans_equal_brute_force(spark, documents):
+    rows = list(zip(documents.doc_id, documents.source, documents.text, strict=True))
+    want = brute_verdicts(rows, secrets.EXAMPLE_OWNERS, secrets.EXAMPLE_REPOSITORIES)
+    got = {r.doc_id: r.spans for r in QUERIES["op10_secret_scan"](spark, SF).collect()}
+    assert {d: s for d, s in got.items() if s} == want
+
+
+def test_verdict_uses_owners_and_repositories(spark):
+    one_owner, lone, spread_out = "Qz7hT1mKp9Xw4LbR", "Vn3cY8sGd2Fj6Ua0", "Ht5eB9xWq1Zr7Mk2"
+    rows = [(i, "a", f"token = {one_owner}") for i in range(12)]
+    rows += [(20, "b", f"x api_key: '{lone}' and password=aaaaaaa"), (21, None, None)]
+    rows += [(30 + i, o, f"secret={spread_out}") for i, o in enumerate("abc")]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    for owners, repositories in ((3, 10), (3, 13), (4, 2)):
+        found = secrets.find_secrets(df, example_owners=owners, example_repositories=repositories)
+        got = {r.doc_id: r.s for r in found.select("doc_id", secrets.listed(F.col("spans")).alias("s")).collect()}
+        want = brute_verdicts(rows, owners, repositories)
+        assert {d: s for d, s in got.items() if s} == want and len(got) == len(rows)
+    assert "live:" in want[20] and "weak:" in want[20]
+
+
 # ---------------------------------------------------------------- pipeline
 
 
