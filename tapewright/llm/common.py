@@ -8,13 +8,17 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs as pafs
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import new_path
+
 #: White space of all word and line rules.
 SPACE = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
+FILTER_BITS = 1 << 26  # 8 MB; with more keys than a sixteenth of it, more rows pass by chance
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -39,6 +43,39 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new folder in the shared one, with its scheme, so that tasks find it where Spark does."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(new_path(spark, label))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
+def likely_in(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
+    """``rows`` without most of those whose ``key`` is no ``wanted_key``; none that has one is lost.
+
+    To be joined afterwards: it keeps wide rows without a partner out of the shuffle. One bit per
+    hash of a wanted key, at most ``FILTER_BITS``, in a file of the shared folder. Null is a key.
+    """
+    spark = rows.sparkSession
+    bits = 1 << max(10, min(FILTER_BITS.bit_length() - 1, (16 * wanted.count()).bit_length()))
+    cell = lambda c: F.xxhash64(c).bitwiseAND(F.lit(bits - 1))
+    mask = F.bit_or(F.expr("shiftleft(1L, cast(_cell & 63 as int))"))
+    folder = shared_folder(spark, "filter")
+    words = wanted.select(cell(wanted_key).alias("_cell")).groupBy(F.expr("_cell >> 6").alias("word")).agg(mask.alias("mask"))
+    words.repartition(1).write.parquet(folder)  # at most FILTER_BITS / 64 rows
+    names = rows.columns
+
+    def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = open_folder(folder)
+        stored = pq.read_table(root, filesystem=system)
+        held = np.zeros(bits // 64, np.int64)
+        held[stored.column("word").to_numpy()] = stored.column("mask").to_numpy()
+        for batch in batches:
+            at = batch.column("_cell").to_numpy()
+            yield batch.select(names).filter(pa.array((held[at >> 6] >> (at & 63)) & 1 == 1))
+
+    return rows.withColumn("_cell", cell(key)).mapInArrow(keep, rows.schema)
+
+
 def shared_file(folder: str, label: str) -> tuple[pafs.FileSystem, str, str]:
     """File system, path there and URI of a new file in a shared folder, made on any executor.
 

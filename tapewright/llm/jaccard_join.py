@@ -1,46 +1,46 @@
 """Near-duplicate join: Jaccard similarity of word shingles, candidates pruned by a posterior.
 
-1. Each text becomes the set of its shingles, a MinHash signature of it and band keys; texts
-   with equal sets are one node from here on.
-2. Nodes that share a band key are compared value by value of their signatures. After each
-   ``STEP`` values the posterior probability that the pair reaches the threshold (uniform
-   prior) is looked up, and the pair goes if it is under ``tolerance``. Survivors are joined to
-   candidate groups.
+1. Each text becomes the set of its shingles and a MinHash signature of it; texts with equal
+   sets are one node from here on.
+2. Nodes that share a band of their signatures are compared value by value. After each ``STEP``
+   values the posterior probability that the pair reaches the threshold (uniform prior) is
+   looked up, and the pair goes if it is under ``tolerance``. Survivors are joined to candidate
+   groups. Bands that hold the same nodes as another are left out, and a large band group is
+   compared across its blocks only where blocks and hub did not join it already.
 3. Inside each candidate group all pairs are verified exactly on the shingle sets.
 
 No step emits the pairs of a group: a task compares at most two blocks of ``block`` nodes and
 returns one row per node, so large groups cost row counts that are linear in them (times the
-number of their blocks) and bounded memory.
+number of their blocks) and bounded memory. Many small groups are compared at once.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import AtomicType
 
 from ..session import materialize
-from .common import LOWER, UPPER, WORD, text_or_empty
+from .common import borders, likely_in, runs, text_or_empty
 
 SHINGLE, THRESHOLD = 5, 0.8
 VALUES, BAND = 128, 4       # 32 bands of 4 values: a pair at 0.8 shares none with 5e-8
 STEP, TOLERANCE = 16, 1e-6
 BLOCK = 512
-LOWERED = str.maketrans(UPPER, LOWER)
-WORDS = re.compile(WORD)
+CHUNK = 4 << 20             # bytes of text whose words are hashed at once
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 _random = np.random.Generator(np.random.PCG64(5))
-FACTORS = _random.integers(0, 1 << 63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-OFFSETS = _random.integers(0, 1 << 63, VALUES, dtype=np.uint64)
+FACTORS = _random.integers(0, 1 << 31, VALUES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+OFFSETS = _random.integers(0, 1 << 32, VALUES, dtype=np.uint32)
 
 
 def scramble(x: np.ndarray) -> np.ndarray:
@@ -49,34 +49,53 @@ def scramble(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_set(text: str, shingle: int = SHINGLE) -> np.ndarray:
-    """Sorted hashes of the text's runs of ``shingle`` words; a shorter text is one shingle of
-    all its words, a text without words has none."""
-    words = WORDS.findall(text.translate(LOWERED))
-    if not words:
-        return np.empty(0, np.uint64)
-    hashed = pd.util.hash_array(np.asarray(words, dtype=object), categorize=True)
-    width = min(shingle, len(words))
-    out = np.zeros(len(words) - width + 1, np.uint64)
+def shingle_sets(texts: pa.Array, shingle: int) -> Iterator[np.ndarray]:
+    """Per text the sorted hashes of its runs of ``shingle`` words; a shorter text is one shingle
+    of all its words, a text without words has none. Words are hashed for many texts at once."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        before = ends[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, before + CHUNK, side="right")))
+        yield from chunk_sets(texts.slice(at, stop - at), shingle)
+        at = stop
+
+
+def chunk_sets(texts: pa.Array, shingle: int) -> Iterator[np.ndarray]:
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words = split.flatten()
+    real = pc.greater(pc.binary_length(words), 0)
+    held = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])
+    cuts = split.offsets.to_numpy()
+    starts = held[cuts - cuts[0]]
+    coded = words.filter(real).dictionary_encode()
+    known = coded.dictionary.to_numpy(zero_copy_only=False)
+    hashed = pd.util.hash_array(known, categorize=False) if len(known) else np.empty(0, np.uint64)
+    hashed = hashed[coded.indices.to_numpy()]
+    whole = rolled(hashed, shingle)
+    for first, last in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+        if last - first >= shingle:
+            yield np.unique(whole[first : last - shingle + 1])
+        else:
+            yield rolled(hashed[first:last], last - first)
+
+
+def rolled(hashed: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each run of ``width`` words."""
+    out = np.zeros(max(len(hashed) - width + 1, 0) if width else 0, np.uint64)
     for k in range(width):
         out = scramble(out * GOLDEN + hashed[k : k + len(out)] + np.uint64(width))
-    return np.unique(out)
+    return out
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """The smallest of each hash function's values; a long set is read in parts."""
-    low = np.full(VALUES, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), 4096):
-        part = shingles[at : at + 4096]
+    """16 bits of the smallest of each hash function's values; a long set is read in parts."""
+    low = np.full(VALUES, np.iinfo(np.uint32).max, np.uint32)
+    short = (shingles >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(short), 4096):
+        part = short[at : at + 4096]
         low = np.minimum(low, (part[None, :] * FACTORS[:, None] + OFFSETS[:, None]).min(axis=1))
-    return scramble(low)
-
-
-def band_keys(values: np.ndarray) -> np.ndarray:
-    keys = np.zeros(VALUES // BAND, np.uint64)
-    for k in range(BAND):
-        keys = scramble(keys * GOLDEN + values[k::BAND])
-    return scramble(keys + np.arange(len(keys), dtype=np.uint64) * GOLDEN).view(np.int64)
+    return scramble(low.astype(np.uint64)).astype(np.uint16)
 
 
 def fewest_matches(threshold: float, tolerance: float, step: int = STEP) -> list[tuple[int, int]]:
@@ -92,41 +111,58 @@ def fewest_matches(threshold: float, tolerance: float, step: int = STEP) -> list
     return out
 
 
-def survivors(one: np.ndarray, many: np.ndarray, bounds: list[tuple[int, int]]) -> np.ndarray:
-    """Indexes of the signatures in ``many`` that stay candidates of ``one``."""
-    alive, matches, done = np.arange(len(many)), np.zeros(len(many), np.int64), 0
-    for n, fewest in bounds:
-        matches = matches + (many[alive, done:n] == one[done:n]).sum(axis=1)
-        stays = matches >= fewest
-        alive, matches, done = alive[stays], matches[stays], n
-        if not len(alive):
-            break
-    return alive
+def linked_roots(
+    starts: np.ndarray, sizes: np.ndarray, values: np.ndarray, bounds: list[tuple[int, int]]
+) -> np.ndarray:
+    """Per row the first row of the rows of its group that surviving pairs join to it.
+
+    Groups are runs of rows. Each round compares one row of every group with all rows of the
+    group not reached yet: a reached row if there is one, else the next row as a new start. A
+    row that was reached is not compared with as a target again: enough to connect.
+    """
+    n = int(sizes.sum())
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    root, state = np.arange(n), np.zeros(n, np.int8)  # 0 not reached, 1 reached, 2 compared
+    live = np.flatnonzero(np.repeat(sizes > 1, sizes))
+    while len(live):
+        first = np.flatnonzero(np.append(True, group[live][1:] != group[live][:-1]))
+        probe = np.minimum.reduceat(live + n * (state[live] == 0), first) % n
+        state[probe] = 2
+        one = np.repeat(probe, np.diff(np.append(first, len(live))))
+        left = state[live] == 0
+        row, one = live[left], one[left]
+        matches, done = np.zeros(len(row), np.int64), 0
+        for at, fewest in bounds:
+            matches = matches + (values[row, done:at] == values[one, done:at]).sum(axis=1)
+            stays = matches >= fewest
+            row, one, matches, done = row[stays], one[stays], matches[stays], at
+            if not len(row):
+                break
+        state[row], root[row] = 1, root[one]
+        waits = np.bincount(group[live], weights=state[live] == 0, minlength=len(sizes)) > 0
+        live = live[(state[live] < 2) & waits[group[live]]]
+    return root
 
 
 def sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id (and ``_key``, if there), digest of the shingle set, and for sets that are not empty
-    signature and bands."""
+    """doc_id (and ``_key``, if there), digest of the shingle set, and the signature of sets that
+    are not empty."""
     kept = [c for c in ("doc_id", "_key") if c in docs.columns]
 
     def sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests, values, keys = [], [], []
-            for text in batch.column("text").to_pylist():
-                found = shingle_set(text, shingle)
+            digests, values = [], []
+            for found in shingle_sets(batch.column("text"), shingle):
                 digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
-                low = signature(found) if len(found) else None
-                values.append(None if low is None else low.astype(np.uint16).tobytes())
-                keys.append(None if low is None else band_keys(low))
+                values.append(signature(found).tobytes() if len(found) else None)
             yield pa.RecordBatch.from_arrays(
-                [*map(batch.column, kept), pa.array(digests, pa.binary()), pa.array(values, pa.binary()),
-                 pa.array(keys, pa.list_(pa.int64()))],
-                [*kept, "digest", "signature", "bands"],
-            )
+                [*map(batch.column, kept), pa.array(digests, pa.binary()), pa.array(values, pa.binary())],
+                [*kept, "digest", "signature"],
+            )
 
     kinds = "".join(f"{c} {docs.schema[c].dataType.simpleString()}, " for c in kept)
     rows = docs.select(*kept, text_or_empty().alias("text"))
-    return rows.mapInArrow(sketch, f"{kinds}digest binary, signature binary, bands array<bigint>")
+    return rows.mapInArrow(sketch, f"{kinds}digest binary, signature binary")
 
 
 def block_pairs(members: DataFrame, group: list[str], block: int) -> DataFrame:
@@ -146,33 +182,77 @@ def block_pairs(members: DataFrame, group: list[str], block: int) -> DataFrame:
     )
 
 
+def band_groups(nodes: DataFrame) -> DataFrame:
+    """(key, node, _size, _hub): the nodes that share a band, one band for each set of nodes.
+
+    Groups are told apart by their number of nodes, smallest node and the XOR of hashes of the
+    nodes, so that bands shared by just the same nodes are compared once.
+    """
+    band = lambda b: F.xxhash64(b, F.substring(F.col("signature"), b * (2 * BAND) + 1, F.lit(2 * BAND)))
+    keys = F.transform(F.sequence(F.lit(0), F.lit(VALUES // BAND - 1)), band)
+    banded = nodes.where("signature is not null").select("node", F.explode(keys).alias("key"))
+    groups = banded.groupBy("key").agg(
+        F.count(F.lit(1)).alias("_size"), F.min("node").alias("_hub"), F.bit_xor(F.xxhash64("node")).alias("_nodes")
+    )
+    chosen = groups.where("_size > 1").groupBy("_size", "_hub", "_nodes").agg(F.min("key").alias("key")).drop("_nodes")
+    return materialize(banded.join(chosen, "key"), "band-groups")
+
+
 def candidate_edges(nodes: DataFrame, bounds: list[tuple[int, int]], block: int) -> DataFrame:
-    """(node, root): per band group, nodes joined by pairs that survive the posterior."""
-    banded = nodes.where("signature is not null").select("node", F.posexplode("bands").alias("band", "key"))
-    tasks = block_pairs(banded, ["band", "key"], block).join(nodes.select("node", "signature"), "node")
-
-    def joined(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("node")
-        node = group["node"].to_numpy()
-        values = np.frombuffer(b"".join(group["signature"]), np.uint16).reshape(len(node), VALUES)
-        root, open_ = node.copy(), np.arange(len(node))
-        # A node that was reached is not compared with as a target again: enough to connect.
-        while len(open_):
-            start, open_ = open_[0], open_[1:]
-            todo = [start]
-            while todo and len(open_):
-                hit = survivors(values[todo.pop()], values[open_], bounds)
-                todo += open_[hit].tolist()
-                root[open_[hit]] = node[start]
-                open_ = np.delete(open_, hit)
-        linked = root != node
-        return pd.DataFrame({"node": node[linked], "root": root[linked]})
+    """(node, root): per band group, nodes joined by pairs that survive the posterior.
 
-    return (
-        tasks.groupBy("band", "key", "_left", "_right")
-        .applyInPandas(joined, "node bigint, root bigint")
-        .distinct()
+    First each block of a group by itself, with the group's hub (its smallest node) in every
+    block. A group of several blocks that this leaves in several parts is then compared across
+    blocks, but for pairs of nodes that are both joined to the hub.
+    """
+    rows, values = band_groups(nodes), nodes.select("node", "signature")
+    blocks = lambda size: F.ceil(size / block).cast("bigint")
+    # A row's block does not depend on its partition, so a lost task gives the same rows again.
+    dealt = rows.where("node <> _hub").select("node", "key", F.pmod(F.xxhash64("node"), blocks(F.col("_size"))).alias("_left"))
+    hubs = rows.where("node = _hub").select("node", "key", F.explode(F.sequence(F.lit(0), blocks(F.col("_size")) - 1)).alias("_left"))
+    inside = materialize(joined(dealt.unionByName(hubs).withColumn("_right", F.lit(-1)), values, bounds), "inside")
+    large = rows.where(F.col("_size") > block)
+    if large.isEmpty():
+        return inside
+    label = components(inside)
+    large = materialize(
+        large.join(label, "node", "left")
+        .join(label.select(F.col("node").alias("_hub"), F.col("label").alias("_hub_label")), "_hub", "left")
+        .select("key", "node", F.coalesce(F.col("label") == F.col("_hub_label"), F.col("node") == F.col("_hub")).alias("_in")),
+        "large",
     )
+    sizes = large.groupBy("key").agg(F.count_if("_in").alias("_n"), F.count_if(~F.col("_in")).alias("_m")).where("_m > 0")
+    parts = large.join(sizes, "key").withColumns({"_n": blocks(F.col("_n")), "_m": blocks(F.col("_m"))})
+    mine = lambda count: F.pmod(F.xxhash64("node"), F.col(count))
+    every = lambda count: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(count) - 1))
+    hub, rest = parts.where("_in"), parts.where("not _in")
+    # Blocks of the hub's part are numbered down from -1, all others up from 0.
+    across = hub.select("node", "key", (-1 - mine("_n")).alias("_left"), every("_m").alias("_right")).unionByName(
+        rest.select("node", "key", mine("_m").alias("_right"), every("_n").alias("_o")).select("node", "key", (-1 - F.col("_o")).alias("_left"), "_right")
+    )
+    among = rest.select("node", "key", mine("_m").alias("_s"), every("_m").alias("_o")).select(
+        "node", "key", F.least("_s", "_o").alias("_left"), F.greatest("_s", "_o").alias("_right")
+    )
+    return inside.unionByName(joined(across.unionByName(among), values, bounds)).distinct()
+
+
+def joined(rows: DataFrame, values: DataFrame, bounds: list[tuple[int, int]]) -> DataFrame:
+    """(node, root) within each ``key, _left, _right``; many small groups are compared at once."""
+    keys = ["key", "_left", "_right"]
+
+    def link(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in runs(batches, keys):
+            cuts = borders(table, keys)
+            starts = np.array([a for a, _ in cuts])
+            sizes = np.array([b - a for a, b in cuts])
+            node = table.column("node").to_numpy()
+            held = b"".join(table.column("signature").to_pylist())
+            root = linked_roots(starts, sizes, np.frombuffer(held, np.uint16).reshape(len(node), VALUES), bounds)
+            moved = np.flatnonzero(root != np.arange(len(node)))
+            yield pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[root[moved]])], ["node", "root"])
+
+    sorted_ = rows.join(values, "node").repartition(*keys).sortWithinPartitions(*keys, "node")
+    return sorted_.select(*keys, "node", "signature").mapInArrow(link, "node bigint, root bigint").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -213,21 +293,20 @@ def verified_links(members: DataFrame, docs: DataFrame, threshold: float, shingl
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingle_set(t, shingle).tobytes() for t in batch.column("text").to_pylist()]
+            found = [s.tobytes() for s in shingle_sets(batch.column("text"), shingle)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("node"), batch.column("label"), pa.array(found, pa.binary())], ["node", "label", "shingles"]
             )
 
-    # A node is the id of one document; where several rows have that id, all of equal digest
-    # have equal sets, and the node column already tells which digest is meant.
     texts = members.join(docs, "node").mapInArrow(sets, "node bigint, label bigint, shingles binary")
     tasks = block_pairs(materialize(texts, "sets"), ["label"], block)
 
-    def links(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("node")
-        node, side = group["node"].to_numpy(), group["_side"].to_numpy()
-        one_block = group["_left"].iat[0] == group["_right"].iat[0]
-        each = [np.frombuffer(s, np.uint64) for s in group["shingles"]]
+    keys = ["label", "_left", "_right"]
+
+    def links(group: pa.Table) -> pa.RecordBatch:
+        node, side = group.column("node").to_numpy(), group.column("_side").to_numpy()
+        one_block = group.column("_left")[0] == group.column("_right")[0]
+        each = [np.frombuffer(s, np.uint64) for s in group.column("shingles").to_pylist()]
         sizes = np.array([len(s) for s in each])
         distinct, codes = np.unique(np.concatenate(each), return_inverse=True)
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
@@ -256,9 +335,16 @@ def verified_links(members: DataFrame, docs: DataFrame, threshold: float, shingl
                 a, b = find(i), find(int(j))
                 low[max(a, b)] = min(a, b)
         has = np.flatnonzero(count)
-        return pd.DataFrame({"node": node[has], "root": node[[find(int(k)) for k in has]], "links": count[has]})
+        root = node[[find(int(k)) for k in has]] if len(has) else node[:0]
+        return pa.RecordBatch.from_arrays([pa.array(node[has]), pa.array(root), pa.array(count[has])], ["node", "root", "links"])
+
+    def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in runs(batches, keys):
+            for first, last in borders(table, keys):
+                yield links(table.slice(first, last - first))
 
-    return tasks.groupBy("label", "_left", "_right").applyInPandas(links, "node bigint, root bigint, links bigint")
+    sorted_ = tasks.repartition(*keys).sortWithinPartitions(*keys, "node")
+    return sorted_.select(*keys, "node", "_side", "shingles").mapInArrow(verify, "node bigint, root bigint, links bigint")
 
 
 def near_duplicates(
@@ -295,31 +381,20 @@ def classified(
     repeats) or none. If ``ids`` has a column ``_key``, a key of its rows, texts are found by it.
     """
     sketched = materialize(sketches(ids, shingle), "sketches")
-    # One node per set, named by its smallest id. Rows that share an id but not a set (an id that
-    # repeats) would share a name, so such names are replaced by a hash of the set.
+    # One node per set. Its number is stored with it, so it stays the same at each reading.
     named = sketched.groupBy("digest").agg(
-        F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"),
-        F.min("signature").alias("signature"), F.min("bands").alias("bands"),
-    )
-    named = materialize(named, "named")
-    shared = (
-        named.groupBy(F.col("first").alias("_first")).agg(F.count(F.lit(1)).alias("_same")).where("_same > 1")
+        F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.min("signature").alias("signature")
     )
-    plain = F.col("_same").isNull() & F.col("first").isNotNull()
-    nodes = materialize(
-        named.join(shared, F.col("first") == F.col("_first"), "left").select(
-            "digest", "first", "copies", "signature", "bands",
-            F.when(plain, F.col("first")).otherwise(F.xxhash64("digest")).alias("node"),
-        ),
-        "nodes",
-    )
+    nodes = materialize(named.withColumn("node", F.monotonically_increasing_id()), "nodes")
     bounds = fewest_matches(threshold, tolerance)
     groups = components(candidate_edges(nodes, bounds, block))
     # The text of each node that is in a group: one row of the node's digest.
     members = groups.join(nodes.select("node", "digest", "first"), "node")
     if "_key" in ids.columns:
         chosen = sketched.join(members.select("node", "digest"), "digest").groupBy("node").agg(F.min("_key").alias("_key"))
-        texts = ids.select("_key", text_or_empty().alias("text")).join(materialize(chosen, "chosen"), "_key").select("node", "text")
+        chosen = materialize(chosen, "chosen")
+        rows = likely_in(ids.select("_key", text_or_empty().alias("text")), "_key", chosen, "_key")
+        texts = rows.join(chosen, "_key").select("node", "text")
     else:
         chosen = (
             sketched.select("doc_id", "digest")
@@ -348,13 +423,13 @@ def texts_of(ids: DataFrame, chosen: DataFrame, shingle: int) -> DataFrame:
     def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             same = [
-                hashlib.blake2b(shingle_set(t, shingle).tobytes(), digest_size=16).digest() == d
-                for t, d in zip(batch.column("text").to_pylist(), batch.column("digest").to_pylist(), strict=True)
+                hashlib.blake2b(found.tobytes(), digest_size=16).digest() == digest
+                for found, digest in zip(shingle_sets(batch.column("text"), shingle), batch.column("digest").to_pylist(), strict=True)
             ]
             yield batch.filter(pa.array(same, pa.bool_())).select(["node", "text"])
 
     wanted = chosen.withColumnRenamed("doc_id", "_id")
-    rows = ids.select("doc_id", text_or_empty().alias("text")).join(
+    rows = likely_in(ids.select("doc_id", text_or_empty().alias("text")), "doc_id", wanted, "_id").join(
         wanted, F.col("doc_id").eqNullSafe(F.col("_id"))
     )
     return (

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tapewright.llm import jaccard_join, langid, line_dedup, mixing, packing, secrets, simhash, topk
-from tapewright.llm.common import importable_by_tasks
+from tapewright.llm.common import importable_by_tasks, likely_in
 from tapewright.llm.queries import QUERIES, tokenizer
 from tapewright.llm.sql import ORACLES
 
@@ -485,3 +485,35 @@ def test_pipeline_on_odd_and_empty_tables(spark, odd, empty, tmp_path):
         docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
         rows = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
         assert {r.doc_id for r in rows} <= {3, 4, 6, 7}
+
+
+def test_rows_without_partner_are_filtered_and_none_with_one_is_lost(spark):
+    importable_by_tasks(spark)
+    rows = spark.range(5000).select(F.when(F.col("id") > 0, F.col("id")).alias("k"), F.lit("x").alias("text"), F.lit(1).alias("_id"))
+    wanted = rows.where("k is null or k % 50 = 0").select(F.col("k").alias("w"))
+    got = [r.k for r in likely_in(rows, "k", wanted, "w").collect()]
+    assert {None, *range(50, 5000, 50)} <= set(got) and len(got) < 1000
+    assert likely_in(rows, "k", wanted.limit(0), "w").count() == 0 and likely_in(rows, "k", wanted, "w").columns == rows.columns
+
+
+def test_linked_roots_equal_pair_by_pair_search():
+    rng, bounds = np.random.default_rng(3), jaccard_join.fewest_matches(0.8, 1e-6)
+    sizes = np.array([1, 2, 7, 40, 1, 25])
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    base = rng.integers(0, 1 << 16, (4, jaccard_join.VALUES), dtype=np.uint16)
+    values = base[rng.integers(0, 4, sizes.sum())]
+    flips = rng.random(values.shape) < rng.uniform(0, 0.25, (len(values), 1))
+    values = np.where(flips, rng.integers(0, 1 << 16, values.shape, dtype=np.uint16), values)
+    got = jaccard_join.linked_roots(starts, sizes, values, bounds)
+    alike = lambda a, b: all((values[a, :n] == values[b, :n]).sum() >= m for n, m in bounds)
+    for first, size in zip(starts, sizes, strict=True):
+        parts = {i: {i} for i in range(first, first + size)}
+        for a in parts:
+            for b in parts:
+                if a < b and alike(a, b):
+                    both = parts[a] | parts[b]
+                    for i in both:
+                        parts[i] = both
+        assert {frozenset(p) for p in parts.values()} == {
+            frozenset(i for i in parts if got[i] == r) for r in set(got[first : first + size])
+        }
