@@ -50,30 +50,42 @@ def shared_folder(spark: SparkSession, label: str) -> str:
 
 
 def likely_in(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
-    """``rows`` without most of those whose ``key`` is no ``wanted_key``; none that has one is lost.
+    """``rows`` without most of those whose ``key`` is no ``wanted_key``; none that has one is lost."""
+    return split_likely(rows, key, wanted, wanted_key)[0]
 
-    To be joined afterwards: it keeps wide rows without a partner out of the shuffle. One bit per
-    hash of a wanted key, at most ``FILTER_BITS``, in a file of the shared folder. Null is a key.
+
+def split_likely(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> tuple[DataFrame, DataFrame]:
+    """The rows whose ``key`` may be a ``wanted_key``, and those whose key is surely none.
+
+    The first are to be joined afterwards: this keeps wide rows without a partner out of the
+    shuffle. One bit per hash of a wanted key, at most ``FILTER_BITS``, in a file of the shared
+    folder. Null is a key.
     """
-    spark = rows.sparkSession
+    spark, names = rows.sparkSession, rows.columns
     bits = 1 << max(10, min(FILTER_BITS.bit_length() - 1, (16 * wanted.count()).bit_length()))
     cell = lambda c: F.xxhash64(c).bitwiseAND(F.lit(bits - 1))
     mask = F.bit_or(F.expr("shiftleft(1L, cast(_cell & 63 as int))"))
     folder = shared_folder(spark, "filter")
     words = wanted.select(cell(wanted_key).alias("_cell")).groupBy(F.expr("_cell >> 6").alias("word")).agg(mask.alias("mask"))
     words.repartition(1).write.parquet(folder)  # at most FILTER_BITS / 64 rows
-    names = rows.columns
-
-    def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, root = open_folder(folder)
-        stored = pq.read_table(root, filesystem=system)
-        held = np.zeros(bits // 64, np.int64)
-        held[stored.column("word").to_numpy()] = stored.column("mask").to_numpy()
-        for batch in batches:
-            at = batch.column("_cell").to_numpy()
-            yield batch.select(names).filter(pa.array((held[at >> 6] >> (at & 63)) & 1 == 1))
-
-    return rows.withColumn("_cell", cell(key)).mapInArrow(keep, rows.schema)
+    extra = "_cell"
+    while extra in names:
+        extra += "_"
+
+    def filtered(likely: bool) -> DataFrame:
+        def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            system, root = open_folder(folder)
+            stored = pq.read_table(root, filesystem=system)
+            held = np.zeros(bits // 64, np.int64)
+            held[stored.column("word").to_numpy()] = stored.column("mask").to_numpy()
+            for batch in batches:
+                at = batch.column(batch.num_columns - 1).to_numpy()
+                set_ = ((held[at >> 6] >> (at & 63)) & 1).astype(bool)
+                yield batch.select(names).filter(pa.array(set_ == likely))
+
+        return rows.withColumn(extra, cell(key)).mapInArrow(keep, rows.schema)
+
+    return filtered(True), filtered(False)
 
 
 def shared_file(folder: str, label: str) -> tuple[pafs.FileSystem, str, str]:

@@ -29,13 +29,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import AtomicType
 
 from ..session import materialize
-from .common import borders, likely_in, runs, text_or_empty
+from .common import borders, likely_in, runs, split_likely, text_or_empty
 
 SHINGLE, THRESHOLD = 5, 0.8
 VALUES, BAND = 128, 4       # 32 bands of 4 values: a pair at 0.8 shares none with 5e-8
 STEP, TOLERANCE = 16, 1e-6
 BLOCK = 512
-CHUNK = 4 << 20             # bytes of text whose words are hashed at once
+CHUNK = 1 << 20             # bytes of text whose words are hashed at once
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 _random = np.random.Generator(np.random.PCG64(5))
@@ -477,4 +477,8 @@ def one_of_each(
         .select("_one")
     )
     keepers = counted.where("_n = 1").select("_one").unionByName(least)
-    return keyed.join(keepers, F.col(key) == F.col("_one"), "left_semi").select(*docs.columns)
+    # The rows that go are fewer than those that stay: only rows that may be among them are joined.
+    gone = materialize(sketched.select("_key").join(keepers, F.col("_key") == F.col("_one"), "left_anti"), "gone")
+    likely, sure = split_likely(keyed, key, gone, "_key")
+    staying = likely.join(gone.select(F.col("_key").alias(key)), key, "left_anti").select(*keyed.columns)
+    return sure.unionByName(staying).select(*docs.columns)
