@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import uuid
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -83,7 +85,7 @@ def split_likely(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str)
                 set_ = ((held[at >> 6] >> (at & 63)) & 1).astype(bool)
                 yield batch.select(names).filter(pa.array(set_ == likely))
 
-        return rows.withColumn(extra, cell(key)).mapInArrow(keep, rows.schema)
+        return rows.withColumn(extra, cell(key)).mapInArrow(giving_back(keep), rows.schema)
 
     return filtered(True), filtered(False)
 
@@ -108,6 +110,26 @@ def open_folder(folder: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(folder.rstrip("/"))
 
 
+Batches = Iterable[pa.RecordBatch]
+
+
+def giving_back(work: Callable[[Batches], Iterator[pa.RecordBatch]]) -> Callable[[Batches], Iterator[pa.RecordBatch]]:
+    """``work`` for the batches of a task, whose memory goes back to the system at its end: Spark
+    keeps the Python worker for later tasks and stages, which need the room."""
+
+    def run(batches: Batches) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            gc.collect()  # closures that know each other hold caches until then
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+            if trim:
+                trim(0)
+
+    return run
+
+
 def runs(batches: Iterable[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.Table]:
     """Tables of whole key groups from batches sorted by ``keys`` (null keys are equal).
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import AtomicType
 
 from ..session import materialize
-from .common import borders, likely_in, runs, split_likely, text_or_empty
+from .common import borders, giving_back, likely_in, runs, split_likely, text_or_empty
 
 SHINGLE, THRESHOLD = 5, 0.8
 VALUES, BAND = 128, 4       # 32 bands of 4 values: a pair at 0.8 shares none with 5e-8
@@ -162,7 +162,7 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
 
     kinds = "".join(f"{c} {docs.schema[c].dataType.simpleString()}, " for c in kept)
     rows = docs.select(*kept, text_or_empty().alias("text"))
-    return rows.mapInArrow(sketch, f"{kinds}digest binary, signature binary")
+    return rows.mapInArrow(giving_back(sketch), f"{kinds}digest binary, signature binary")
 
 
 def block_pairs(members: DataFrame, group: list[str], block: int) -> DataFrame:
@@ -252,7 +252,7 @@ def joined(rows: DataFrame, values: DataFrame, bounds: list[tuple[int, int]]) ->
             yield pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[root[moved]])], ["node", "root"])
 
     sorted_ = rows.join(values, "node").repartition(*keys).sortWithinPartitions(*keys, "node")
-    return sorted_.select(*keys, "node", "signature").mapInArrow(link, "node bigint, root bigint").distinct()
+    return sorted_.select(*keys, "node", "signature").mapInArrow(giving_back(link), "node bigint, root bigint").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -298,7 +298,7 @@ def verified_links(members: DataFrame, docs: DataFrame, threshold: float, shingl
                 [batch.column("node"), batch.column("label"), pa.array(found, pa.binary())], ["node", "label", "shingles"]
             )
 
-    texts = members.join(docs, "node").mapInArrow(sets, "node bigint, label bigint, shingles binary")
+    texts = members.join(docs, "node").mapInArrow(giving_back(sets), "node bigint, label bigint, shingles binary")
     tasks = block_pairs(materialize(texts, "sets"), ["label"], block)
 
     keys = ["label", "_left", "_right"]
@@ -344,7 +344,7 @@ def verified_links(members: DataFrame, docs: DataFrame, threshold: float, shingl
                 yield links(table.slice(first, last - first))
 
     sorted_ = tasks.repartition(*keys).sortWithinPartitions(*keys, "node")
-    return sorted_.select(*keys, "node", "_side", "shingles").mapInArrow(verify, "node bigint, root bigint, links bigint")
+    return sorted_.select(*keys, "node", "_side", "shingles").mapInArrow(giving_back(verify), "node bigint, root bigint, links bigint")
 
 
 def near_duplicates(
@@ -434,7 +434,7 @@ def texts_of(ids: DataFrame, chosen: DataFrame, shingle: int) -> DataFrame:
     )
     return (
         rows.select("node", "digest", "text")
-        .mapInArrow(check, "node bigint, text string")
+        .mapInArrow(giving_back(check), "node bigint, text string")
         .dropDuplicates(["node"])
     )
 

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .common import giving_back
 
 
 SIZES = (2, 3, 4, 5)          # characters of an n-gram
@@ -196,7 +197,7 @@ def train(rows: DataFrame, *, train_rows: int = TRAIN_ROWS, max_grams: int = MAX
                 for i, text in enumerate(own):
                     found.append(np.unique(np.concatenate([np.unique(grams(p)) for p in pieces(text)])))
                     held += len(found[-1])
-                    if held > 4_000_000 or i == len(own) - 1:
+                    if held > 1_000_000 or i == len(own) - 1:
                         h, n = np.unique(np.concatenate(found), return_counts=True)
                         yield pa.RecordBatch.from_arrays(
                             [pa.array([lang] * len(h)), pa.array(h.view(np.int64)), pa.array(n)],
@@ -204,7 +205,7 @@ def train(rows: DataFrame, *, train_rows: int = TRAIN_ROWS, max_grams: int = MAX
                         )
                         found, held = [], 0
 
-    counted = sample.mapInArrow(count, "lang string, gram bigint, n bigint")
+    counted = sample.mapInArrow(giving_back(count), "lang string, gram bigint, n bigint")
     counted = materialize(counted.groupBy("gram", "lang").agg(F.sum("n").alias("n")), "grams")
     fewest = F.least(F.lit(MIN_ROWS), F.greatest(F.lit(1), F.floor(by_language(sizes) / 10)))
     rate, claim = F.col("n") / by_language(sizes), F.col("n") / (by_language(sizes) + DOUBT_ROWS)
@@ -271,7 +272,7 @@ def identify(docs: DataFrame, model: Model, *, lang: str = "lang_pred", score: s
             new = [pa.array([x for x, _ in said], pa.string()), pa.array([y for _, y in said], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*names, lang, score])
 
-    return docs.mapInArrow(predict, schema)
+    return docs.mapInArrow(giving_back(predict), schema)
 
 
 def held_out() -> Column:

@@ -13,7 +13,6 @@ import re
 import struct
 import zlib
 from collections.abc import Callable, Iterable, Iterator, Sequence
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -23,11 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import text_or_empty
+from .common import giving_back, text_or_empty
 
 CAPACITY = 1024
 GROUP_PIECES = 16_384
-CACHED_WORDS = 250_000  # distinct words after which a worker forgets those not used again
+CACHED_WORDS = 250_000  # distinct words after which a task forgets those not used again
 CACHED_CHARS = 64       # longer words are not kept
 MARKS = "!\"#$%&()*+,-./:;<=>?@[]^_{|}~"
 SPACE_RUN = re.compile(r" \s")
@@ -68,10 +67,8 @@ def little_endian(ids: Sequence[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
-@lru_cache(maxsize=1)
 def encoder(path: str, pattern: str) -> Callable[[str], bytes]:
-    """Text to id bytes, equal to the tokenizer's own output. The tasks of a worker share one, so
-    that its words are known to the next task and only one set of them is in memory.
+    """Text to id bytes, equal to the tokenizer's own output.
 
     The merges of a byte-level tokenizer never cross the borders of ``pattern``, so the words
     between them are encoded once and looked up after that. A space before anything but white
@@ -141,7 +138,7 @@ def cut_pieces(
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(cut, schema)
+    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(giving_back(cut), schema)
 
 
 def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
