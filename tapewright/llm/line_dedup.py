@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize, new_path
-from .common import SPACE, ascii_lower, open_folder, shared_file, text_or_empty
+from .common import SPACE, ascii_lower, giving_back, open_folder, shared_file, text_or_empty
 
 MIN_LENGTH, MIN_DOCUMENTS = 40, 5
 SHARD_KEYS = 1 << 18       # keys of a shard: some 6 MB of arrays
@@ -261,4 +261,4 @@ def drop_shared_lines(
             columns = dict(zip(names, batch.columns, strict=True)) | new
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return docs.mapInArrow(probe, schema)
+    return docs.mapInArrow(giving_back(probe), schema)
