@@ -93,6 +93,7 @@ from .sources.tables import (
     append_log,
     gate,
     read_bars,
+    read_log,
     read_newest,
     read_seed_history,
     since_open,
@@ -777,8 +778,9 @@ def signal_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def signal_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signals appended to the log table, read back."""
     path = new_path(spark, "log")
-    append_log(trade_signals(spark, sf_dir), path, "example")
-    return spark.read.parquet(path).select(
+    rows = trade_signals(spark, sf_dir)
+    append_log(rows, path, "example")
+    return read_log(spark, path, rows.schema).select(
         "timestamp", "system", "side", "entry", "stop", "target", "exp_p", "p_win"
     )
 

@@ -11,7 +11,16 @@ from pyspark.sql import types as T
 
 from ..functions.clock import bar_floor, in_session, minutes, session_open
 from ..operators.history import newest
-from ..schemas import BAR, HISTORY_ROWS, INSTRUMENT, OHLC, XSECTION_COLUMNS, SessionSpec, history_schema
+from ..schemas import (
+    BAR,
+    HISTORY_ROWS,
+    INSTRUMENT,
+    OHLC,
+    SIGNAL,
+    XSECTION_COLUMNS,
+    SessionSpec,
+    history_schema,
+)
 
 STORED = T.StructType([*BAR.fields, T.StructField("trade_date", T.DateType())])
 DAY_COUNTS = "_day_counts"
@@ -145,3 +154,19 @@ def append_log(rows: DataFrame, path: str, system: str) -> None:
         .partitionBy("trade_date")
         .parquet(path)
     )
+
+
+def read_log(spark: SparkSession, path: str, schema: T.StructType = SIGNAL) -> DataFrame:
+    """The log as ``append_log`` wrote it; ``schema`` is that of the rows appended.
+
+    A log that no prediction reached has no day folder to infer a schema from, so it is given.
+    """
+    log = T.StructType(
+        [
+            T.StructField("timestamp", schema["bar_ts"].dataType),
+            T.StructField("system", T.StringType()),
+            *[f for f in schema.fields if f.name != "bar_ts"],
+            T.StructField("trade_date", T.DateType()),
+        ]
+    )
+    return spark.read.schema(log).parquet(path)

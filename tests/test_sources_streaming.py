@@ -123,6 +123,13 @@ def test_log_appends(spark):
     assert back.columns[:2] == ["timestamp", "system"] and back.count() == 2
 
 
+def test_log_without_signals(spark, monkeypatch):
+    monkeypatch.setattr(catalog, "trade_signals", lambda spark, sf_dir: spark.createDataFrame([], SIGNAL))
+    got = catalog.signal_log(spark, "")
+    assert got.columns == ["timestamp", "system", "side", "entry", "stop", "target", "exp_p", "p_win"]
+    assert dict(got.dtypes)["timestamp"] == "timestamp_ntz" and got.count() == 0
+
+
 def test_instruments(spark):
     rows = [
         (1, "TCS", "NSE", "EQ", "NSE"), (2, "TCS", "BSE", "EQ", "BSE"), (3, "ITC", "NSE", "FUT", "NFO"),
