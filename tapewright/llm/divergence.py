@@ -12,58 +12,82 @@ other, and what a task emits is one partial sum per pair of groups.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import LOWER, UPPER
+from .common import LOWER, UPPER, giving_back
 
 #: Bytes of terms: letters, and all bytes of code points beyond ASCII. Others become spaces.
 TERM_BYTES = bytes(b if b >= 0x80 or chr(b) in LOWER else ord(chr(b).lower()) if chr(b) in UPPER else 0x20 for b in range(256))
 MIN_DOCUMENTS, TOP, UNIT = 3, 200, 10**9
 BLOCK_TERMS = 1024  # term ids of a block
 TILE_GROUPS = 64    # groups of a tile: a block of two tiles is a matrix of 1 MB
+PART_BYTES = 4 << 20  # text whose terms are counted at once
+BATCH_ROWS = 50_000   # rows handed back to Spark at once
 PRICED = "lang string, ga int, gb int, source string, term string, value bigint"
 
 
-def group_counts(docs: DataFrame) -> DataFrame:
+def term_counts(texts: pa.Array) -> pa.Table:
+    """Occurrences ``n`` and documents ``df`` of each term of some texts, each a document."""
+    texts = pc.cast(texts, pa.large_string())
+    _, offsets, data = texts.buffers()
+    spaced = pa.py_buffer((data.to_pybytes() if data else b"").translate(TERM_BYTES))
+    # Bytes of other characters stay, so the rewritten texts are UTF-8 again.
+    rewritten = pa.Array.from_buffers(pa.large_string(), len(texts), [None, offsets, spaced], offset=texts.offset)
+    split = pc.ascii_split_whitespace(rewritten)
+    terms, parents = split.flatten(), pc.list_parent_indices(split)
+    real = pc.not_equal(terms, "")  # spaces at the ends of a text
+    coded = terms.filter(real).dictionary_encode()
+    code = coded.indices.to_numpy(zero_copy_only=False)
+    document = parents.filter(real).to_numpy(zero_copy_only=False)
+    at = np.arange(len(code))
+    newest, last = np.zeros(len(coded.dictionary), np.int64), np.zeros(len(code), bool)
+    borders = [0, *(np.flatnonzero(np.diff(document)) + 1).tolist(), len(code)]
+    for start, end in zip(borders[:-1], borders[1:], strict=True):
+        # Of the places of a term in one document, the one written last stays.
+        mine = code[start:end]
+        newest[mine] = at[start:end]
+        last[start:end] = newest[mine] == at[start:end]
+    size = len(coded.dictionary)
+    n, df = np.bincount(code, minlength=size), np.bincount(code[last], minlength=size)
+    return pa.table({"term": coded.dictionary.cast(pa.string()), "n": pa.array(n, pa.int64()), "df": pa.array(df, pa.int64())})
+
+
+def group_counts(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """Occurrences ``n`` and documents ``df`` of each term in each group.
 
-    Tasks add up a batch of documents before anything is shuffled. Each group also has a row
-    with a null term, so that one without any term is there.
+    Tasks add up a batch of documents before anything is shuffled, parts of about ``part_bytes``
+    at a time. Each group also has a row with a null term, so that one without any term is there.
     """
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: dict[tuple[str, str], tuple[Counter, Counter]] = {}
-            langs, sources = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            texts = batch.column(2).cast(pa.binary())
-            for lang, source, text in zip(langs, sources, texts, strict=True):
-                n, df = seen.setdefault((lang, source), (Counter(), Counter()))
-                terms = text.as_py().translate(TERM_BYTES).split()
-                n.update(terms)
-                df.update(set(terms))
-            for (lang, source), (n, df) in seen.items():
-                terms = [None, *n]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([lang] * len(terms), pa.string()),
-                        pa.array([source] * len(terms), pa.string()),
-                        pa.array(terms, pa.binary()).cast(pa.string()),
-                        pa.array([0, *n.values()], pa.int64()),
-                        pa.array([0, *(df[t] for t in n)], pa.int64()),
-                    ],
-                    ["lang", "source", "term", "n", "df"],
-                )
+            rows: dict[tuple[str, str], list[int]] = {}
+            for i, group in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                rows.setdefault(group, []).append(i)
+            sizes = pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False).astype(np.int64)
+            for (lang, source), mine in rows.items():
+                filled = np.cumsum(sizes[mine]) // part_bytes
+                cuts = (np.flatnonzero(np.diff(filled)) + 1).tolist()
+                parts = [term_counts(batch.column(2).take(pa.array(part))) for part in np.split(np.array(mine), cuts)]
+                added = pa.concat_tables(parts)
+                if len(parts) > 1:
+                    added = added.group_by("term", use_threads=False).aggregate([("n", "sum"), ("df", "sum")])
+                    added = added.rename_columns({"n_sum": "n", "df_sum": "df"}).select(["term", "n", "df"])
+                head = pa.table({"term": pa.nulls(1, pa.string()), "n": [0], "df": [0]})
+                for part in pa.concat_tables([head, added]).to_batches(max_chunksize=BATCH_ROWS):
+                    names = [pa.repeat(pa.scalar(x, pa.string()), part.num_rows) for x in (lang, source)]
+                    yield pa.RecordBatch.from_arrays([*names, *part.columns], ["lang", "source", "term", "n", "df"])
 
     rows = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    counted = rows.mapInArrow(count, "lang string, source string, term string, n bigint, df bigint")
+    counted = rows.mapInArrow(giving_back(count), "lang string, source string, term string, n bigint, df bigint")
     return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
 
 

@@ -176,6 +176,32 @@ def test_blocks_and_tiles_change_nothing(spark):
     assert audited(spark, rows, block_terms=7, tile_groups=2) == brute_audit(rows)
 
 
+ODD_TEXTS = ["", " 7 ", "A a\u0085b É É_x\tß\nZ9z 日本 日本", "b a A", "b" * 3000, "a"]
+
+
+def counted_terms(texts):
+    found = [re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)) for t in texts]
+    n, df = Counter(w for f in found for w in f), Counter(w for f in found for w in set(f))
+    return sorted((w, n[w], df[w]) for w in n)
+
+
+def test_terms_of_a_batch_are_counted_at_once():
+    for texts in (ODD_TEXTS, ODD_TEXTS[2:5], [], ["", " "]):
+        got = divergence.term_counts(pa.array(["zz zz", *texts, "zz"], pa.string())[1 : len(texts) + 1])
+        assert sorted(map(tuple, (r.values() for r in got.to_pylist()))) == counted_terms(texts)
+
+
+@pytest.mark.parametrize("part_bytes", [1, 40, 1 << 22])
+def test_parts_of_a_batch_are_added_up(spark, part_bytes):
+    importable_by_tasks(spark)
+    rows = [(g, None, t) for t in [*ODD_TEXTS, None] for g in ("en", None)]
+    docs = spark.createDataFrame(rows, "lang string, source string, text string").coalesce(1)
+    got = divergence.group_counts(docs, part_bytes).collect()
+    assert {(r.lang, r.source, r.n, r.df) for r in got if r.term is None} == {("en", "", 0, 0), ("", "", 0, 0)}
+    for lang in ("en", ""):
+        assert sorted((r.term, r.n, r.df) for r in got if r.lang == lang and r.term is not None) == counted_terms(ODD_TEXTS)
+
+
 def test_audit_of_nothing(spark):
     assert audited(spark, []) == []
 
