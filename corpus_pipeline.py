@@ -17,6 +17,7 @@ from tapewright.llm.queries import tokenizer
 from tapewright.session import materialize
 
 MIN_SCORE = 0.5  # share of a text's n-grams that its language must explain
+CACHED_WORDS = 60_000  # executors that ran the stages before have less room for packing
 
 
 def as_documents(rows: DataFrame, like: DataFrame) -> DataFrame:
@@ -58,7 +59,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 1024 tokens."""
-    return packing.pack(docs, **tokenizer())
+    return packing.pack(docs, cached_words=CACHED_WORDS, **tokenizer())
 
 
 STAGES = [

@@ -35,16 +35,16 @@ PIECE = "doc_id {id}, start bigint, length bigint, ids_crc32 bigint, doc_tokens
 
 
 class Cached(dict):
-    """Values by text, made by ``make`` at their first use; ``CACHED_WORDS`` to twice as many stay.
+    """Values by text, made by ``make`` at their first use; ``words`` to twice as many stay.
 
     When it is full, what was not used since the last time goes, so frequent words are kept.
     """
 
-    def __init__(self, make: Callable[[str], bytes]):
-        self.make, self.old = make, {}
+    def __init__(self, make: Callable[[str], bytes], words: int = CACHED_WORDS):
+        self.make, self.words, self.old = make, words, {}
 
     def __missing__(self, text: str) -> bytes:
-        if len(self) >= CACHED_WORDS:
+        if len(self) >= self.words:
             self.old = dict(self)
             self.clear()
         value = self.old.get(text)
@@ -67,7 +67,7 @@ def little_endian(ids: Sequence[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
-def encoder(path: str, pattern: str) -> Callable[[str], bytes]:
+def encoder(path: str, pattern: str, cached_words: int = CACHED_WORDS) -> Callable[[str], bytes]:
     """Text to id bytes, equal to the tokenizer's own output.
 
     The merges of a byte-level tokenizer never cross the borders of ``pattern``, so the words
@@ -96,7 +96,7 @@ def encoder(path: str, pattern: str) -> Callable[[str], bytes]:
             return spaced[letters_only] + words[marks] if marks else word(f" {text}")
         return b"".join([words[w] for w in split(f" {text}")])
 
-    words, spaced = Cached(word), Cached(after_space)
+    words, spaced = Cached(word, cached_words), Cached(after_space, cached_words)
 
     def encode(text: str) -> bytes:
         if any(s in text for s in special):
@@ -110,7 +110,7 @@ def encoder(path: str, pattern: str) -> Callable[[str], bytes]:
 
 
 def cut_pieces(
-    docs: DataFrame, tokenizer: str, pattern: str, *, capacity: int, end_id: int, with_ids: bool
+    docs: DataFrame, tokenizer: str, pattern: str, *, capacity: int, end_id: int, with_ids: bool, cached_words: int
 ) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType.simpleString()
     schema = PIECE.format(id=id_type) + (", ids binary" if with_ids else "")
@@ -118,11 +118,11 @@ def cut_pieces(
     step = 4 * capacity
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer, pattern)
+        encode = encoder(tokenizer, pattern, cached_words)
         for batch in batches:
             rows: list[list] = [[], [], [], [], [], []]
-            for row, text in enumerate(batch.column(1).to_pylist()):
-                ids = encode(text) + end
+            for row, text in enumerate(batch.column(1)):
+                ids = encode(text.as_py()) + end
                 for at in range(0, len(ids), step):
                     piece = ids[at : at + step]
                     values = (row, at // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4)
@@ -179,17 +179,19 @@ def pack(
     group_pieces: int = GROUP_PIECES,
     with_ids: bool = False,
     seed: int = 17,
+    cached_words: int = CACHED_WORDS,
 ) -> DataFrame:
     """One row per piece: document, start, length, CRC of its ids, sequence and offset there.
 
     ``docs`` needs ``doc_id`` and ``text``; other columns are not read. A null or empty text
     is a document of the end id alone. Rows are packed one by one: a repeated row is packed
     again, a null id stays null. An empty table gives an empty plan. ``with_ids`` adds the
-    ids themselves (little-endian 32-bit), from which sequences are laid out.
+    ids themselves (little-endian 32-bit), from which sequences are laid out. ``cached_words``
+    weighs a task's memory against its time and changes no result.
     """
     spark = docs.sparkSession
     cut = cut_pieces(
-        docs, tokenizer, pattern, capacity=capacity, end_id=end_id, with_ids=with_ids
+        docs, tokenizer, pattern, capacity=capacity, end_id=end_id, with_ids=with_ids, cached_words=cached_words
     )
     # Stored: tokenizing is the costly part, and the random group must not change afterwards.
     pieces = materialize(cut.withColumn("_draw", F.rand(seed)), "pieces")

@@ -62,6 +62,18 @@ def test_query_equals_sql(spark, name):
 # ---------------------------------------------------------------- packing
 
 
+def test_small_caches_change_no_ids():
+    from tokenizers import Tokenizer
+
+    path, pattern = tokenizer()["tokenizer"], tokenizer()["pattern"]
+    known, encode = Tokenizer.from_file(path), packing.encoder(path, pattern, cached_words=3)
+    for text in ["a b c d e f a b", "one  two\tthree one", "Größe, x! x! y", *[f"w{i} w{i % 4}" for i in range(20)]]:
+        assert encode(text) == np.array(known.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    cache = packing.Cached(str.encode, 3)
+    for t in "abcdabcdefgh":
+        assert cache[t] == t.encode() and len(cache) <= 3 and len(cache.old) <= 3
+
+
 def check_pieces(rows, texts):
     from tokenizers import Tokenizer
 
