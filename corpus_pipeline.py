@@ -17,7 +17,7 @@ from tapewright.llm.queries import tokenizer
 from tapewright.session import materialize
 
 MIN_SCORE = 0.5  # share of a text's n-grams that its language must explain
-CACHED_WORDS = 60_000  # executors that ran the stages before have less room for packing
+CACHED_WORDS = 15_000  # executors that ran the stages before have less room for packing
 
 
 def as_documents(rows: DataFrame, like: DataFrame) -> DataFrame:
