@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,6 +120,33 @@ def test_encoder_equals_the_tokenizer(documents, monkeypatch):
         assert encode(text) == want
 
 
+def test_batch_encoder_tokenizes_the_words_of_many_texts_at_once(documents, monkeypatch):
+    import random
+
+    settings, rng = tokenizer(), random.Random(3)
+    path, pattern = settings["tokenizer"], settings["pattern"]
+    bits = [
+        "'s", "'t", "'re", "'ve", "'m", "'ll", "'d", "'S", "'", "''", " ", "  ", "\n", "\t", "\r\n", "\x85", "\u00a0", "\u3000", "a", "the", "é",
+        "日本", "😀", "1", "23", "½", "²", ",", ".", "...", "!?", "\x00", "\x7f", "\x1c", "\u200b", "\u0301", "e", "l", "v", "r", "aaaa", "0000", "----", "====",
+    ]
+    odd_texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 14))) for _ in range(20_000)]
+    odd_texts += ["", "x" * 300, " " * 300, "\n\t" * 200, "<|endoftext|> hi", "'", "'r", "'re", "a'l", ""]
+    one_by_one = packing.encoder(path, pattern)
+    texts = [*odd_texts, *(t or "" for t in documents.text[:300])]
+    want = [one_by_one(t) for t in texts]
+    assert list(packing.batch_encoder(path, pattern)(pa.array(texts).slice(7))) == want[7:]  # a slice of a column
+    assert list(packing.batch_encoder(path, r"\w+|\W+")(pa.array(texts[:50]))) == [packing.encoder(path, r"\w+|\W+")(t) for t in texts[:50]]
+    monkeypatch.setattr(packing, "PART_BYTES", 64)
+    assert list(packing.batch_encoder(path, pattern)(pa.array(texts[-2_000:]))) == want[-2_000:]
+    # The different words of a part are tokenized in one call, none by itself.
+    monkeypatch.setattr(packing, "PART_BYTES", 1 << 21)
+    calls, encode = [], packing.Merges.encode
+    monkeypatch.setattr(packing.Merges, "encode", lambda self, data, sizes: calls.append(len(sizes)) or encode(self, data, sizes))
+    monkeypatch.setattr(packing, "encoder", lambda *_: pytest.fail("a plain text is encoded by itself"))
+    assert list(packing.batch_encoder(path, pattern)(pa.array(["a b a", "b c'd"] * 500))) == [one_by_one("a b a"), one_by_one("b c'd")] * 500
+    assert calls == [6]
+
+
 def test_packing_edges(odd, empty):
     rows = packing.pack(odd, **tokenizer()).collect()
     assert len({r.doc_id for r in rows}) == len(TEXTS) + 1
