@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tapewright.llm import jaccard_join, langid, line_dedup, mixing, packing
 from tapewright.llm.common import importable_by_tasks
 from tapewright.llm.queries import tokenizer
-from tapewright.session import materialize
+from tapewright.session import materialize, scratch
 
 MIN_SCORE = 0.5  # share of a text's n-grams that its language must explain
 CACHED_WORDS = 15_000  # executors that ran the stages before have less room for packing
@@ -32,7 +32,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Learnt from the labels of the documents themselves. Rejects texts that are null or have no
     letter; without any label, only those.
     """
-    model = langid.train(docs.where(~langid.held_out()).select("doc_id", "text", "lang"))
+    with scratch(spark):  # the model is all that is needed of training
+        model = langid.train(docs.where(~langid.held_out()).select("doc_id", "text", "lang"))
     said = langid.identify(docs, model, lang="_said", score="_score")
     good = F.col("_said") != "und"
     if model.languages:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import AtomicType
 
-from ..session import materialize
+from ..session import materialize, scratch
 from .common import borders, giving_back, likely_in, runs, split_likely, text_or_empty
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -452,33 +452,35 @@ def one_of_each(
 
     Columns stay as they are. Rows without id come after all others of their class; a class only
     of such rows keeps one of them. Ids may repeat: rows are told apart by a key stored with them.
+    Only the keyed rows and the keys of those that go stay in the shared folder.
     """
     key = "_key"
     while key in docs.columns:
         key += "_"
     keyed = materialize(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
     ids = keyed.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.col(key).alias("_key"))
-    sketched, sets = classified(ids, threshold, shingle, tolerance, block)
-    # The rows of each class with its smallest id; class_id is null where no row has one.
-    first = materialize(
-        sketched.select("doc_id", "_key", "digest")
-        .join(sets.select("digest", "label", "class_id"), "digest")
-        .where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-        .select("label", F.col("_key").alias(key)),
-        "first",
-    )
-    counted = first.groupBy("label").agg(F.count(F.lit(1)).alias("_n"), F.min(key).alias("_one"))
-    tied = first.join(counted.where("_n > 1").select("label"), "label").select(F.col("label").alias("_label"), key)
-    others = [f.name for f in docs.schema if f.name not in ("doc_id", "text") and isinstance(f.dataType, AtomicType)]
-    least = (
-        keyed.join(tied, key)
-        .groupBy("_label")
-        .agg(F.min(F.struct("text", *others, key))[key].alias("_one"))
-        .select("_one")
-    )
-    keepers = counted.where("_n = 1").select("_one").unionByName(least)
-    # The rows that go are fewer than those that stay: only rows that may be among them are joined.
-    gone = materialize(sketched.select("_key").join(keepers, F.col("_key") == F.col("_one"), "left_anti"), "gone")
+    with scratch(docs.sparkSession) as keep:
+        sketched, sets = classified(ids, threshold, shingle, tolerance, block)
+        # The rows of each class with its smallest id; class_id is null where no row has one.
+        first = materialize(
+            sketched.select("doc_id", "_key", "digest")
+            .join(sets.select("digest", "label", "class_id"), "digest")
+            .where(F.col("doc_id").eqNullSafe(F.col("class_id")))
+            .select("label", F.col("_key").alias(key)),
+            "first",
+        )
+        counted = first.groupBy("label").agg(F.count(F.lit(1)).alias("_n"), F.min(key).alias("_one"))
+        tied = first.join(counted.where("_n > 1").select("label"), "label").select(F.col("label").alias("_label"), key)
+        others = [f.name for f in docs.schema if f.name not in ("doc_id", "text") and isinstance(f.dataType, AtomicType)]
+        least = (
+            keyed.join(tied, key)
+            .groupBy("_label")
+            .agg(F.min(F.struct("text", *others, key))[key].alias("_one"))
+            .select("_one")
+        )
+        keepers = counted.where("_n = 1").select("_one").unionByName(least)
+        # The rows that go are fewer than those that stay: only rows that may be among them are joined.
+        gone = keep(sketched.select("_key").join(keepers, F.col("_key") == F.col("_one"), "left_anti"), "gone")
     likely, sure = split_likely(keyed, key, gone, "_key")
     staying = likely.join(gone.select(F.col("_key").alias(key)), key, "left_anti").select(*keyed.columns)
     return sure.unionByName(staying).select(*docs.columns)

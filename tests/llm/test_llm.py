@@ -6,6 +6,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -18,6 +19,7 @@ from tapewright.llm import jaccard_join, langid, line_dedup, mixing, packing, se
 from tapewright.llm.common import importable_by_tasks, likely_in
 from tapewright.llm.queries import QUERIES, tokenizer
 from tapewright.llm.sql import ORACLES
+from tapewright.session import materialize, scratch, work_dir
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
@@ -527,6 +529,26 @@ def test_pipeline_on_odd_and_empty_tables(spark, odd, empty, tmp_path):
         assert {r.doc_id for r in rows} <= {3, 4, 6, 7}
 
 
+def test_working_tables_go_with_the_work_they_are_for(spark, odd):
+    shared = Path(work_dir(spark))
+
+    def left(stage):
+        before = {p.name for p in shared.iterdir()}
+        rows = stage(spark, odd, "").collect()  # reads nothing that is gone
+        return {p.name.rsplit("-", 1)[0] for p in shared.iterdir() if p.name not in before}, len(rows)
+
+    assert left(corpus_pipeline.language)[0] == set()
+    assert left(corpus_pipeline.near_duplicates) == ({"keyed", "gone", "filter"}, 5)
+    before = {p.name for p in shared.iterdir()}
+    with scratch(spark):
+        with scratch(spark) as keep:
+            inner = materialize(odd, "inner")
+            outer = keep(inner, "outer")
+        assert outer.count() == len(TEXTS) + 2
+        assert {p.name.rsplit("-", 1)[0] for p in shared.iterdir() if p.name not in before} == {"outer"}
+    assert {p.name for p in shared.iterdir()} == before
+
+
 def test_rows_without_partner_are_filtered_and_none_with_one_is_lost(spark):
     importable_by_tasks(spark)
     rows = spark.range(5000).select(F.when(F.col("id") > 0, F.col("id")).alias("k"), F.lit("x").alias("text"), F.lit(1).alias("_id"))
