@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import giving_back
+from .common import giving_back, parts
 
 
 SIZES = (2, 3, 4, 5)          # characters of an n-gram
@@ -267,7 +267,7 @@ def identify(docs: DataFrame, model: Model, *, lang: str = "lang_pred", score: s
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of bounded size, see train()
 
     def predict(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             said = [shared.value.decide(t) for t in batch.column(names.index("text")).to_pylist()]
             new = [pa.array([x for x, _ in said], pa.string()), pa.array([y for _, y in said], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*names, lang, score])

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize, new_path
-from .common import SPACE, ascii_lower, giving_back, open_folder, shared_file, text_or_empty
+from .common import SPACE, ascii_lower, giving_back, open_folder, parts, shared_file, text_or_empty
 
 MIN_LENGTH, MIN_DOCUMENTS = 40, 5
 SHARD_KEYS = 1 << 18       # keys of a shard: some 6 MB of arrays
@@ -231,7 +231,7 @@ def drop_shared_lines(
 
     def probe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards = Shards(folder, paths)
-        for batch in batches:
+        for batch in parts(batches):
             texts = batch.column(names.index("text")).to_pylist()
             ids = batch.column(names.index("doc_id")).cast(pa.int64()).fill_null(NO_ID)
             split = [(t or "").split("\n") for t in texts]

@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,10 +95,15 @@ def source_targets(sized: DataFrame, share: float, most: float, cycle: Sequence[
     weights = [cycle[i % len(cycle)] for i in range(len(rows))]
     total = share * sum(size for _, size in rows)
     targets = capped_shares([size for _, size in rows], weights, total, most)
-    data = [(s, size, w, t) for (s, size), w, t in zip(rows, weights, targets, strict=True)]
-    return sized.sparkSession.createDataFrame(
-        data, "source string, source_size bigint, weight double, target double"
-    )
+    names, sizes = zip(*rows, strict=True) if rows else ((), ())
+    columns = {
+        "source": pa.array(names, pa.string()),
+        "source_size": pa.array(sizes, pa.int64()),
+        "weight": pa.array(weights, pa.float64()),
+        "target": pa.array(targets, pa.float64()),
+    }
+    # As Arrow: a list of rows would start Python workers of another kind on the executors.
+    return sized.sparkSession.createDataFrame(pa.table(columns))
 
 
 def place(

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tapewright.llm import jaccard_join, langid, line_dedup, mixing, packing, secrets, simhash, topk
-from tapewright.llm.common import importable_by_tasks, likely_in
+from tapewright.llm.common import importable_by_tasks, likely_in, parts
 from tapewright.llm.queries import QUERIES, tokenizer
 from tapewright.llm.sql import ORACLES
 from tapewright.session import materialize, scratch, work_dir
@@ -549,6 +549,19 @@ def test_working_tables_go_with_the_work_they_are_for(spark, odd):
     assert {p.name for p in shared.iterdir()} == before
 
 
+def test_tasks_hold_few_rows_at_once(spark, odd):
+    batch = pa.RecordBatch.from_pydict({"x": list(range(2500))})
+    cut = list(parts([batch, batch.slice(0, 0), batch.slice(0, 1024)]))
+    assert [b.num_rows for b in cut] == [1024, 1024, 452, 1024] and cut[2].column(0)[0].as_py() == 2048
+    # The plan of the sources comes without a Python worker that would turn a list into rows.
+    sized = odd.select("source", F.lit(3).cast("bigint").alias("size"))
+    targets = mixing.source_targets(sized, 1.5, 2.0, mixing.CYCLE)
+    assert "ExistingRDD" not in targets._jdf.queryExecution().toString()
+    assert targets.schema.simpleString() == "struct<source:string,source_size:bigint,weight:double,target:double>"
+    assert [(r.source, r.source_size) for r in targets.collect()] == [("s", 18), (None, 12)]
+    assert mixing.source_targets(sized.limit(0), 1.5, 2.0, mixing.CYCLE).count() == 0
+
+
 def test_rows_without_partner_are_filtered_and_none_with_one_is_lost(spark):
     importable_by_tasks(spark)
     rows = spark.range(5000).select(F.when(F.col("id") > 0, F.col("id")).alias("k"), F.lit("x").alias("text"), F.lit(1).alias("_id"))
