@@ -10,6 +10,7 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -440,6 +441,47 @@ def test_search_edges(odd, empty):
     assert topk.top_k(asked.limit(0), odd).count() == 0
 
 
+def test_term_vectors_equal_python():
+    odd = ["", "!?", "a_b", "Stra\u00dfe STRASSE", "\u0130stanbul \u03a3\u03a3 \u65e5\u672c \u0661\u0662 e\u0301", "\u00bd \u00b2 \u00aa", "x\x00y X", LONG]
+    texts = odd + [f"q{chr(c)}W {chr(c)}" for c in range(0x3000) if not 0xD800 <= c < 0xE000]
+    got = topk.term_vectors(pa.array(texts))
+    for i, text in enumerate(texts):
+        want = Counter(re.findall(r"[^\W_]+", text.lower()))
+        hashed = {int(h): n for h, n in zip(pd.util.hash_array(np.array([*want, ""], object)).view(np.int64), [*want.values(), 0], strict=True)}
+        part = slice(got.starts[i], got.starts[i + 1])
+        assert dict(zip(got.terms[part].tolist(), got.counts[part].tolist(), strict=True)) == {h: n for h, n in hashed.items() if n}
+        assert (got.terms[part][1:] > got.terms[part][:-1]).all()
+
+
+def test_search_does_without_postings_of_frequent_terms():
+    rng = np.random.default_rng(3)
+    usual = [[f"{lang}{w}" for w in range(40)] for lang in "de"]
+    texts = [" ".join([*rng.choice(usual[i % 2], 30), *(f"rare{x}" for x in rng.integers(0, 900, 6))]) for i in range(2000)]
+    texts += texts[:40]  # copies have equal scores, whichever block they are in
+    vectors = topk.term_vectors(pa.array(texts))
+    terms, df = np.unique(vectors.terms, return_counts=True)
+    mean, n = vectors.counts.sum() / len(texts), len(texts)
+    frequent = terms[df > topk.FREQUENT * n]
+    frequent = frequent[np.argsort(-df[np.searchsorted(terms, frequent)], kind="stable")]
+    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))[np.searchsorted(terms, vectors.terms)]
+    shard = topk.Shard(vectors, np.arange(n)[::-1], mean, frequent)
+    assert len(frequent) == 80 and len(shard.doc) == len(vectors.terms) - df[df > topk.FREQUENT * n].sum()
+    asked, floors = 100, np.zeros(100)
+    end = vectors.starts[asked]
+    query, doc, score = shard.search(vectors.starts[: asked + 1], vectors.terms[:end], idf[:end], 10, floors)
+    bags = [dict(zip(vectors.terms[a:b], vectors.counts[a:b], strict=True)) for a, b in zip(vectors.starts, vectors.starts[1:], strict=False)]
+    for q in range(asked):
+        weight = dict(zip(vectors.terms[vectors.starts[q] : vectors.starts[q + 1]], idf[vectors.starts[q] : vectors.starts[q + 1]], strict=True))
+        want = []
+        for i, bag in enumerate(bags):
+            norm = 1.2 * (0.25 + 0.75 * sum(bag.values()) / mean)
+            want.append((-round(sum(weight[t] * c * 2.2 / (c + norm) for t, c in bag.items() if t in weight), 9), n - 1 - i))
+        want = sorted(want)[:10]
+        assert shard.ids[doc[query == q]].tolist() == [i for _, i in want]
+        assert np.allclose(score[query == q], [-s for s, _ in want])
+        assert np.isclose(floors[q], -want[-1][0])
+
+
 # ---------------------------------------------------------------- secrets
 
 
