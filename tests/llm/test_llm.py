@@ -482,6 +482,54 @@ def test_search_does_without_postings_of_frequent_terms():
         assert np.isclose(floors[q], -want[-1][0])
 
 
+def test_search_adds_terms_of_a_kind_of_documents_as_rows():
+    """Terms that few documents have, but most of one kind, have no postings in that kind."""
+    rng = np.random.default_rng(5)
+    word = lambda kind, x: "".join(chr(97 + int(d)) for d in f"{x:03}") + kind
+    texts = []
+    for kind, many in (("x", 1600), ("y", 200), ("z", 200)):
+        usual, others = [word(kind, x) for x in range(30)], [word(kind, x) for x in range(100, 160)]
+        texts += [" ".join([*rng.choice(usual, 60), *rng.choice(others, 25), f"rare{rng.integers(0, 300)}"]) for _ in range(many)]
+    texts += ["", *texts[:20], *texts[-20:]]  # copies have equal scores, whichever block they are in
+    texts = [texts[i] for i in rng.permutation(len(texts))]
+    vectors = topk.term_vectors(pa.array(texts))
+    terms, df = np.unique(vectors.terms, return_counts=True)
+    mean, n = vectors.counts.sum() / len(texts), len(texts)
+    frequent = terms[df > topk.FREQUENT * n]
+    assert ((df > 0.02 * n) & (df <= topk.FREQUENT * n)).sum() == 120  # the others of y and z
+    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+    shard = topk.Shard(vectors, np.arange(n), mean, frequent)
+    assert len(shard.doc) < 1.1 * n  # the rare ones
+    bags = [dict(zip(vectors.terms[a:b], vectors.counts[a:b], strict=True)) for a, b in zip(vectors.starts, vectors.starts[1:], strict=False)]
+    weight = dict(zip(terms, idf, strict=True))
+    floors = np.zeros(n)
+    floors[::3] = 1e9  # above every score: nothing is found
+    query, doc, score = shard.search(vectors.starts, vectors.terms, idf[np.searchsorted(terms, vectors.terms)], 10, floors)
+    assert not (query % 3 == 0).any()
+    for q in range(1, n, 40):
+        want = []
+        for i, bag in enumerate(bags):
+            norm = 1.2 * (0.25 + 0.75 * sum(bag.values()) / mean)
+            want.append((-round(sum(weight[t] * c * 2.2 / (c + norm) for t, c in bag.items() if t in bags[q]), 9), i))
+        want = [] if q % 3 == 0 else [(s, i) for s, i in sorted(want)[:10] if s < 0]
+        assert shard.ids[doc[query == q]].tolist() == [i for _, i in want]
+        assert np.allclose(score[query == q], [-s for s, _ in want])
+
+
+def test_search_in_steps_and_small_shards(spark):
+    """More shards than steps, in which floors come from the steps before; equal to one shard."""
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join([*(f"w{x}" for x in rng.zipf(1.3, 30) % 500), "common" * int(i % 3)])) for i in range(600)]
+    rows += [(None, rows[7][1]), (7, rows[7][1]), (601, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    importable_by_tasks(spark)
+    queries = docs.where("doc_id % 20 = 7").select(F.col("doc_id").alias("query_id"), "text")
+    found = lambda size: sorted(topk.top_k(queries, docs, shard_docs=size).collect(), key=str)
+    small, one = found(37), found(100_000)
+    assert len(small) == 31 * 10 and [r[:3] for r in small] == [r[:3] for r in one]
+    assert [r["doc_id"] for r in small if r["query_id"] == 7 and r["rank"] <= 3].count(None) in (1, 2)  # its own row twice
+
+
 # ---------------------------------------------------------------- secrets
 
 
